@@ -12,13 +12,15 @@ Further columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import let, table
 
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 K, SLACK, COVER = 3, 2, 0.8
 #: Base phrases and their labels; label and words of each template.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -35,10 +37,10 @@ TEMPLATES = (
 )
 
 
-def words_of(text):
-    """The words, with A-Z in lower case. U+212A and U+0130 are put aside first: lower() would make ASCII of them."""
+def normal(text):
+    """The words with one space between, A-Z in lower case. U+212A and U+0130 are put aside first: lower() would make ASCII of them."""
     plain = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\u212A\u0130]", "é"))
-    return F.regexp_extract_all(plain, F.lit(f"({WORD})"), F.lit(1))
+    return F.trim(F.regexp_replace(plain, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 
 
 def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = K) -> DataFrame:
@@ -50,8 +52,8 @@ def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = K) -> Data
 
 def spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates=TEMPLATES, k: int = K, slack: int = SLACK) -> DataFrame:
     """(key, text_hash, template, label, first, last, cover): merged spans, from word `first` to before word `last`."""
-    gram = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(k))))
-    grams = let(words_of(F.col(text)), lambda w: F.when(F.size(w) >= k, gram(w)))
+    next_words = " ".join(["[^ ]+"] * k)
+    grams = F.regexp_extract_all(normal(F.col(text)), F.lit(f"(?=({next_words}))[^ ]+ ?"), F.lit(1))
     rolled = docs.select(F.col(key), F.xxhash64(text).alias("text_hash"), F.posexplode(grams).alias("place", "found")).withColumn("h", F.xxhash64("found"))
     met = rolled.join(F.broadcast(template_grams(docs.sparkSession, templates, k)), "h").where("found = gram")
     by = [key, "text_hash", "template", "label", "n_template"]
@@ -67,15 +69,18 @@ def spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates
 def license_scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates=TEMPLATES, cover: float = COVER, **params) -> DataFrame:
     """For each row: key, n_words, n_base, first_word, last_word, base_labels, labels, score (the best coverage of a template)."""
     phrases = [p.split() for p, _ in BASE]
+    alike = lambda w, i, j, x: F.coalesce(F.get(w, i + j) == x, F.lit(False))
 
     def places(w):
-        here = lambda i, p: F.coalesce(F.get(w, i) == p[0], F.lit(False)) & F.coalesce(F.get(w, i + len(p) - 1) == p[-1], F.lit(False)) & (F.coalesce(F.get(w, i + 1) == p[1], F.lit(False)))
-        which = lambda i: F.when(here(i, phrases[0]), 0).when(here(i, phrases[1]), 1).when(here(i, phrases[2]), 2)
-        return F.filter(F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.struct(i.alias("i"), which(i).alias("p"))), lambda x: x["p"].isNotNull())
+        which = F.lit(None).cast("int")
+        here = lambda i: reduce(lambda a, n: F.when(reduce(and_, (alike(w, i, j, x) for j, x in enumerate(phrases[n]))), n).otherwise(a), range(len(phrases)), which)
+        return F.filter(F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.struct(i.alias("i"), here(i).alias("p"))), lambda x: x["p"].isNotNull())
 
-    may = F.coalesce(F.col(text).rlike("(?i)cc|general|rights"), F.lit(False))
     none = F.array().cast("array<struct<i:int,p:int>>")
-    base = docs.select(F.col(key), F.xxhash64(text).alias("text_hash"), let(words_of(F.col(text)), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.when(may & (F.size(w) > 0), places(w)).otherwise(none).alias("at"))).alias("b"))
+    norm = docs.select(F.col(key), F.xxhash64(text).alias("text_hash"), normal(F.col(text)).alias("__norm"))
+    spaces = F.length("__norm") - F.length(F.replace("__norm", F.lit(" "), F.lit("")))
+    may = F.concat(F.lit(" "), "__norm", F.lit(" ")).rlike(f" ({'|'.join(p for p, _ in BASE)}) ")
+    base = norm.select(key, "text_hash", F.struct(F.when(F.col("__norm") == "", 0).otherwise(spaces + 1).cast("long").alias("n"), F.when(may, let(F.split("__norm", " "), places)).otherwise(none).alias("at")).alias("b"))
     named = F.array(*(F.lit(x) for _, x in BASE))
     base = base.select(
         key, "text_hash", F.col("b.n").alias("n_words"), F.size("b.at").cast("long").alias("n_base"),
