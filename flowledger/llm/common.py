@@ -57,3 +57,10 @@ def let(value: Column, body) -> Column:
 def count_chars(text: Column, chars: str) -> Column:
     """How many characters of text are among chars (none repeated)."""
     return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers then hold at most so many texts at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

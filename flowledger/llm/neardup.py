@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise, table
+from .common import materialise, small_batches, table
 from .components import components
 from .shingles import SPACE, mix, shingles
 
@@ -169,6 +169,7 @@ def rest_of_lists(lists: DataFrame, comp: DataFrame, docs: DataFrame, k: int, pe
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, sketch: int = SKETCH, breaks=SPACE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     made = materialise(sketches(docs, k, sketch, breaks))
     filled = made.where("n > 0 AND doc_id IS NOT NULL")
     classes = filled.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"))
