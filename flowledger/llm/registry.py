@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("rules", "urlfilter", "license_scan", "neardup", "packing")
+MODULES = ("rules", "urlfilter", "license_scan", "neardup", "packing", "decontam")
 QUERIES, ORACLE = {}, {}
 for _name in MODULES:
     _module = import_module(f"{__package__}.{_name}")
