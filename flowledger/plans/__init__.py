@@ -1,4 +1,9 @@
 """Registered queries of the dataflow engine, and their SQL."""
 
+from . import scalars
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+for _module in (scalars,):
+    QUERIES |= _module.QUERIES
+    ORACLE |= _module.ORACLE
