@@ -1,9 +1,9 @@
 """Registered queries of the dataflow engine, and their SQL."""
 
-from . import scalars
+from . import dataflow, scalars
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (scalars,):
+for _module in (scalars, dataflow):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
