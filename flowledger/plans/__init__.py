@@ -1,9 +1,9 @@
 """Registered queries of the dataflow engine, and their SQL."""
 
-from . import dataflow, scalars
+from . import dataflow, evaluation, flagship, scalars
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (scalars, dataflow):
+for _module in (flagship, scalars, dataflow, evaluation):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
