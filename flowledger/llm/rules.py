@@ -29,8 +29,8 @@ RULES = (
     ("symbols", "n_symbols", "word_chars", (600, 400, 300, 200, 150, 100, 80, 60)),
     ("exclaims", "n_exclaims", "word_chars", (600, 400, 300, 200, 150, 100, 80, 60)),
     ("capitals", "n_capitals", "word_chars", (900, 800, 700, 600, 500, 400, 350, 300)),
-    ("dup_lines", "n_dup_lines", "n_lines", (900, 800, 700, 600, 500, 400, 350, 300)),
-    ("repeats", "n_repeat_words", "n_words", (500, 450, 400, 350, 300, 250, 200)),
+    ("dup_lines", "n_dup_lines", "n_lines", (900, 800, 700, 600, 500)),
+    ("repeats", "n_repeat_words", "n_words", (500, 450, 400, 350)),
 )
 RISK, DELTA = 0.05, 0.05
 
