@@ -19,9 +19,10 @@ def json_string(col: Column) -> Column:
     """A JSON string literal, quotes included."""
     held = F.to_json(F.struct(col.alias("s")))
     out = F.substring(held, F.lit(6), F.length(held) - 6)
+    lowered = out
     for code in _LETTERED:
-        out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}")
-    return out
+        lowered = F.regexp_replace(lowered, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}")
+    return F.when(out.contains("\\u00"), lowered).otherwise(out)
 
 
 def _render(col: Column, kind: T.DataType, depth: int) -> Column:

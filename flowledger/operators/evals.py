@@ -43,25 +43,42 @@ def pareto(scores: DataFrame, key: str, metrics: list[str], shorter: str) -> Dat
 def leak_windows(texts: DataFrame, samples: DataFrame, run: int) -> DataFrame:
     """(id, sample_id): texts that have any `run` characters in a row from a sample. Both sides are (id, text).
 
-    The samples' windows are split into blocks of at most 1,000,000 characters, each broadcast; texts are read once for each block."""
+    Such a run holds one whole piece of run // 2 characters at a multiple of that length in the text. Those pieces are looked up
+    among all pieces of the samples, and a hit is extended to both sides. The samples are split into blocks of about
+    1,000,000 characters, each broadcast; texts are read once for each block."""
     spark = texts.sparkSession
     total = samples.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // 1_000_000))
+    blocks, piece = max(1, -(-total // 1_000_000)), max(1, run // 2)
     out = None
     for b in range(blocks):
-        rows = samples.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).select("id", "text").collect()
-        windows: dict[str, set] = {}
-        for r in rows:
-            for i in range(len(r.text or "") - run + 1):
-                windows.setdefault(r.text[i : i + run], set()).add(r.id)
-        held = spark.sparkContext.broadcast(windows)
-
-        def search(batches, held=held):
+        rows = samples.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).where("text IS NOT NULL").select("id", "text").collect()
+        places: dict[str, list[tuple[int, int]]] = {}
+        for n, r in enumerate(rows):
+            for i in range(len(r.text) - piece + 1):
+                places.setdefault(r.text[i : i + piece], []).append((n, i))
+        held = spark.sparkContext.broadcast(([(r.id, r.text) for r in rows], places))
+
+        def leaks(t, held):
+            known, at = held
+            found = set()
+            for q in range(0, len(t) - piece + 1, piece):
+                for n, o in at.get(t[q : q + piece], ()):
+                    if n in found:
+                        continue
+                    s, left, right = known[n][1], 0, piece
+                    while left < run - piece and q > left and o > left and t[q - left - 1] == s[o - left - 1]:
+                        left += 1
+                    while left + right < run and q + right < len(t) and o + right < len(s) and t[q + right] == s[o + right]:
+                        right += 1
+                    if left + right >= run:
+                        found.add(n)
+            return {known[n][0] for n in found}
+
+        def search(batches, held=held, leaks=leaks):
             import pandas as pd
 
-            known = held.value
             for pdf in batches:
-                found = [(i, s) for i, t in zip(pdf["id"], pdf["text"], strict=True) if t for s in set().union(*(known.get(t[j : j + run], ()) for j in range(len(t) - run + 1)))]
+                found = [(i, s) for i, t in zip(pdf["id"], pdf["text"], strict=True) if t for s in leaks(t, held.value)]
                 yield pd.DataFrame(found, columns=["id", "sample_id"])
 
         part = texts.select("id", "text").mapInPandas(search, "id long, sample_id long")

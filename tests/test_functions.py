@@ -100,3 +100,17 @@ def test_corrupt_cache_rows_fail(spark):
     held = spark.createDataFrame([("k", "a", "not its digest")], "key string, artifact string, artifact_sha256 string")
     with pytest.raises(Exception, match="corrupt"):
         incremental(keyed, held, F.lit("x")).collect()
+
+
+def test_leak_windows_equal_brute_force(spark):
+    import random
+
+    from flowledger.operators.evals import leak_windows
+
+    r = random.Random(8)
+    samples = [(i, "".join(r.choices("abc", k=r.randrange(0, 40)))) for i in range(12)] + [(50, None), (51, "aaaaaaaaaaaa")]
+    texts = [(i, "".join(r.choices("abc", k=r.randrange(0, 120)))) for i in range(40)] + [(90, None), (91, "xaaaaaaax"), (92, "")]
+    a, b = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(samples, "id long, text string")
+    for run in (1, 5, 8):
+        want = {(i, j) for i, t in texts for j, s in samples if t and s and any(s[k : k + run] in t for k in range(len(s) - run + 1))}
+        assert {tuple(x) for x in leak_windows(a, b, run).collect()} == want
