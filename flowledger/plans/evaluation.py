@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from ..functions import canon, text
 from ..operators import calls, evals
+from .scalars import whole_sql
 from .tables import literal_rows, read
 
 QUERIES, ORACLE = {}, {}
@@ -394,7 +395,16 @@ def gated_metric(spark, sf):
 
 @query("SELECT doc_id, '## Answer' || chr(10) || chr(10) || '```' || chr(10) || substr(text, 1, 50) || chr(10) || '```' || chr(10) || 'Score 0 to 1.' AS prompt FROM documents")
 def judge_prompts(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.concat(text.inject(F.substring("text", 1, 50), title="Answer"), F.lit("Score 0 to 1.")).alias("prompt"))
+    return _judge_prompts(spark, sf, F.substring("text", 1, 50))
+
+
+def _judge_prompts(spark, sf, t):
+    return read(spark, sf, "documents").select("doc_id", F.concat(text.inject(t, title="Answer"), F.lit("Score 0 to 1.")).alias("prompt"))
+
+
+@query(whole_sql(ORACLE["judge_prompts"]))
+def judge_prompts_whole(spark, sf):
+    return _judge_prompts(spark, sf, F.col("text"))
 
 
 @query(f"SELECT variant, count(*) FILTER (score < 0 OR score > 1) AS outside FROM ({TRIALS}) GROUP BY variant")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import canon, text
@@ -43,7 +45,11 @@ def sha_text(spark, sf):
 f AS (SELECT *, repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(body, '`+'), lambda x: length(x))), 0))::INT) AS mark FROM d)
 SELECT doc_id, '## Material' || chr(10) || chr(10) || mark || chr(10) || body || chr(10) || mark || chr(10) AS block FROM f""")
 def inject_docs(spark, sf):
-    body = F.concat(F.substring("text", 1, 200), F.lit("\n"), F.repeat(F.lit("`"), (F.col("doc_id") % 7).cast("int")), F.lit(" end"))
+    return _inject_docs(spark, sf, F.substring("text", 1, 200))
+
+
+def _inject_docs(spark, sf, t):
+    body = F.concat(t, F.lit("\n"), F.repeat(F.lit("`"), (F.col("doc_id") % 7).cast("int")), F.lit(" end"))
     return read(spark, sf, "documents").select("doc_id", text.inject(body, title="Material").alias("block"))
 
 
@@ -71,7 +77,11 @@ def render_template(spark, sf):
 @query("""SELECT doc_id, CASE WHEN v = '' THEN '' ELSE '## Part' || chr(10) || chr(10) || v || CASE WHEN ends_with(v, chr(10)) THEN '' ELSE chr(10) END END AS part
 FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN substr(text, 1, 100) ELSE substr(text, 1, 50) || chr(10) END AS v FROM documents)""")
 def section_docs(spark, sf):
-    v = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.substring("text", 1, 100)).otherwise(F.concat(F.substring("text", 1, 50), F.lit("\n")))
+    return _section_docs(spark, sf, F.substring("text", 1, 100), F.substring("text", 1, 50))
+
+
+def _section_docs(spark, sf, one, two):
+    v = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, one).otherwise(F.concat(two, F.lit("\n")))
     return read(spark, sf, "documents").select("doc_id", text.section("Part", v).alias("part"))
 
 
@@ -98,7 +108,11 @@ def clip_sentence(spark, sf):
 
 @query("SELECT conv_id, string_agg('- ' || replace(substr(text, 1, 80), chr(10), chr(10) || '  '), chr(10) ORDER BY turn) AS bullets FROM conversations GROUP BY conv_id")
 def render_bullets(spark, sf):
-    turns = read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 80).alias("t")))).alias("all"))
+    return _render_bullets(spark, sf, F.substring("text", 1, 80))
+
+
+def _render_bullets(spark, sf, t):
+    turns = read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", t.alias("t")))).alias("all"))
     return turns.select("conv_id", text.render_bullets(F.col("all.t")).alias("bullets"))
 
 
@@ -162,9 +176,13 @@ FROM documents JOIN p ON layer = 'tone' AND variant = lang)
 SELECT doc_id, lang AS variant, prompt, sha256(prompt) AS prompt_sha, length(prompt)::INT AS chars FROM r""")
 def prompt_resolution(spark, sf):
     """Base, the layer variant that the language selects, and material."""
+    return _prompt_resolution(spark, sf, F.substring("text", 1, 60))
+
+
+def _prompt_resolution(spark, sf, t):
     tone = literal_rows(spark, "layer variant body", PROMPTS).where("layer = 'tone'").select("variant", "body")
     docs = read(spark, sf, "documents").join(F.broadcast(tone), F.col("lang") == F.col("variant"))
-    prompt = F.concat(F.lit("Summarise.\n"), "body", F.lit("\n"), text.inject(F.substring("text", 1, 60), title="Text"))
+    prompt = F.concat(F.lit("Summarise.\n"), "body", F.lit("\n"), text.inject(t, title="Text"))
     return docs.select("doc_id", "variant", prompt.alias("prompt")).withColumns({"prompt_sha": canon.sha(F.col("prompt")), "chars": F.length("prompt")})
 
 
@@ -226,7 +244,11 @@ def pairwise_scores(spark, sf):
 
 @query("""SELECT doc_id, replace(replace(replace(t, '&', '&amp;'), '"', '&quot;'), chr(10), '<br/>') AS label, CASE WHEN length(t) <= 40 THEN t ELSE substr(t, 1, 37) || '...' END AS short_label FROM (SELECT doc_id, lang || ' & "' || source || '"' || chr(10) || substr(text, 1, 60) AS t FROM documents)""")
 def mermaid_labels(spark, sf):
-    t = F.concat("lang", F.lit(' & "'), "source", F.lit('"\n'), F.substring("text", 1, 60))
+    return _mermaid_labels(spark, sf, F.substring("text", 1, 60))
+
+
+def _mermaid_labels(spark, sf, body):
+    t = F.concat("lang", F.lit(' & "'), "source", F.lit('"\n'), body)
     return read(spark, sf, "documents").select("doc_id", text.mermaid_label(t).alias("label"), text.shortened(t, 40).alias("short_label"))
 
 
@@ -239,7 +261,11 @@ def mermaid_ids(spark, sf):
 SELECT conv_id, first_role IS NOT DISTINCT FROM 'system' AS conflict, CASE WHEN first_role IS NOT DISTINCT FROM 'system' THEN NULL ELSE 'system:Answer.' || chr(10) || array_to_string(list_transform(msgs, lambda x: x.role || ':' || x.text), chr(10)) END AS wire, '{"type":"json_object"}' AS response_format FROM m""")
 def normalize_messages(spark, sf):
     """A `system` parameter becomes the first message, json_mode a response format; an existing system message is a conflict."""
-    turns = read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.substring("text", 1, 40).alias("text")))).alias("m"), F.max(F.when(F.col("turn") == 0, F.col("role"))).alias("first_role"))
+    return _normalize_messages(spark, sf, F.substring("text", 1, 40))
+
+
+def _normalize_messages(spark, sf, t):
+    turns = read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", t.alias("text")))).alias("m"), F.max(F.when(F.col("turn") == 0, F.col("role"))).alias("first_role"))
     conflict = F.col("first_role").eqNullSafe(F.lit("system"))
     full = F.array_insert(F.transform("m", lambda x: F.concat(x["role"], F.lit(":"), x["text"])), 1, F.lit("system:Answer."))
     return turns.select("conv_id", conflict.alias("conflict"), F.when(~conflict, F.array_join(full, "\n")).alias("wire"), F.to_json(F.struct(F.lit("json_object").alias("type"))).alias("response_format"))
@@ -266,5 +292,50 @@ def usage_normalize(spark, sf):
 
 @query("SELECT doc_id, 'data:text/plain;base64,' || to_base64(encode(substr(text, 1, 300))) AS data_url, sha256(substr(text, 1, 300)) AS digest FROM documents")
 def attachment_data_url(spark, sf):
-    content = F.substring("text", 1, 300).cast("binary")
+    return _attachment_data_url(spark, sf, F.substring("text", 1, 300))
+
+
+def _attachment_data_url(spark, sf, t):
+    content = t.cast("binary")
     return read(spark, sf, "documents").select("doc_id", F.concat(F.lit("data:text/plain;base64,"), F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))).alias("data_url"), F.sha2(content, 256).alias("digest"))
+
+
+def whole_sql(sql: str) -> str:
+    """A query's SQL on the whole texts: the column in place of its prefix, and a fence that outgrows the text where it was three backticks."""
+    mark = "repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))), 0))::INT)"
+    return re.sub(r"substr\(text, 1, \d+\)", "text", sql).replace("'```'", mark)
+
+
+@query(whole_sql(ORACLE["inject_docs"]))
+def inject_docs_whole(spark, sf):
+    return _inject_docs(spark, sf, F.col("text"))
+
+
+@query(whole_sql(ORACLE["section_docs"]))
+def section_docs_whole(spark, sf):
+    return _section_docs(spark, sf, F.col("text"), F.col("text"))
+
+
+@query(whole_sql(ORACLE["render_bullets"]))
+def render_bullets_whole(spark, sf):
+    return _render_bullets(spark, sf, F.col("text"))
+
+
+@query(whole_sql(ORACLE["prompt_resolution"]))
+def prompt_resolution_whole(spark, sf):
+    return _prompt_resolution(spark, sf, F.col("text"))
+
+
+@query(whole_sql(ORACLE["mermaid_labels"]))
+def mermaid_labels_whole(spark, sf):
+    return _mermaid_labels(spark, sf, F.col("text"))
+
+
+@query(whole_sql(ORACLE["normalize_messages"]))
+def normalize_messages_whole(spark, sf):
+    return _normalize_messages(spark, sf, F.col("text"))
+
+
+@query(whole_sql(ORACLE["attachment_data_url"]))
+def attachment_data_url_whole(spark, sf):
+    return _attachment_data_url(spark, sf, F.col("text"))
