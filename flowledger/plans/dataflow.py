@@ -43,8 +43,17 @@ def map_items(spark, sf):
 @query(f"""SELECT n.doc_id, n.text = o.text AS hit, reverse(substr(n.text, 1, 20)) || length(n.text) AS artifact FROM {V2} n LEFT JOIN documents o ON o.doc_id = n.doc_id""")
 def map_incremental(spark, sf):
     """The second version of the documents against the results of the first: only changed texts are computed."""
+    return _map_incremental(spark, sf, F.concat(F.reverse(F.substring("text", 1, 20)), F.length("text").cast("string")))
+
+
+@query(f"SELECT n.doc_id, n.text = o.text AS hit, reverse(n.text) || length(n.text) AS artifact FROM {V2} n LEFT JOIN documents o ON o.doc_id = n.doc_id")
+def map_incremental_whole(spark, sf):
+    """The same with an artifact of the whole text."""
+    return _map_incremental(spark, sf, F.concat(F.reverse("text"), F.length("text").cast("string")))
+
+
+def _map_incremental(spark, sf, compute):
     keyed = lambda df: df.select("doc_id", "text", canon.component_digest(("item", canon.sha(F.col("text"))), ("source", canon.sha(F.lit("fn-1")))).alias("key"))
-    compute = F.concat(F.reverse(F.substring("text", 1, 20)), F.length("text").cast("string"))
     first = keyed(read(spark, sf, "documents")).select("key", compute.alias("artifact")).dropDuplicates(["key"])
     held = first.withColumn("artifact_sha256", canon.sha(F.col("artifact")))
     new = keyed(changed(read(spark, sf, "documents"))).withColumn("fresh", F.col("doc_id") % 10 == 0)

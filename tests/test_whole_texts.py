@@ -47,3 +47,9 @@ def test_sql_has_no_prefix_left():
     whole = [n for n in ORACLE if n.endswith("_whole")]
     assert len(whole) >= 8 and not any("substr(text" in ORACLE[n] for n in whole)
     assert whole_sql("substr(t, 1, 37)") == "substr(t, 1, 37)"
+
+
+def test_artifacts_are_of_whole_texts(spark, tmp_path):
+    same_start = ["the same twenty letters and " + x for x in ("one", "two")]
+    spark.createDataFrame(list(enumerate(same_start, 1)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.hit, r.artifact) for r in rows(spark, str(tmp_path), "map_incremental_whole")] == [(True, t[::-1] + str(len(t))) for t in same_start]
