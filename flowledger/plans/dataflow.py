@@ -291,8 +291,18 @@ def ledger_drift(spark, sf):
 
 @query("SELECT page_id, 'page-' || page_id || '.html' AS path, sha256(html) AS digest FROM pages WHERE page_id % 2 = 0")
 def item_files(spark, sf):
+    return _item_files(spark, sf, F.col("page_id") % 2 == 0)
+
+
+@query("SELECT page_id, 'page-' || page_id || '.html' AS path, sha256(html) AS digest FROM pages")
+def item_files_all(spark, sf):
+    """The same for every page."""
+    return _item_files(spark, sf, F.lit(True))
+
+
+def _item_files(spark, sf, which):
     files = read(spark, sf, "pages").select(F.format_string("page-%d.html", "page_id").alias("path"), canon.sha(F.col("html")).alias("digest"))
-    items = read(spark, sf, "pages").where("page_id % 2 = 0").select("page_id", F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"))
+    items = read(spark, sf, "pages").where(which).select("page_id", F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"))
     return items.join(files, "path").select("page_id", "path", "digest")
 
 
@@ -377,8 +387,18 @@ def next_run_id(spark, sf):
 @query("WITH p AS (SELECT DISTINCT substr(sha256(c_name), 1, 2) AS prefix FROM customer WHERE c_custkey <= 40 UNION SELECT 'zz'), h AS (SELECT sha256(c_name) AS key FROM customer) SELECT prefix, CASE count(key) WHEN 0 THEN 'not found' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS state FROM p LEFT JOIN h ON starts_with(key, prefix) GROUP BY prefix")
 def call_prefix_lookup(spark, sf):
     """Unique key by its prefix. Prefixes of equal length are an equi-join."""
+    return _call_prefix_lookup(spark, sf, F.col("c_custkey") <= 40)
+
+
+@query("WITH h AS (SELECT sha256(c_name) AS key FROM customer), p AS (SELECT DISTINCT substr(key, 1, 2) AS prefix FROM h UNION SELECT 'zz'), n AS (SELECT substr(key, 1, 2) AS prefix, count(*) AS n FROM h GROUP BY 1) SELECT prefix, CASE coalesce(n, 0) WHEN 0 THEN 'not found' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS state FROM p LEFT JOIN n USING (prefix)")
+def call_prefix_lookup_all(spark, sf):
+    """The same for the prefixes of all customers."""
+    return _call_prefix_lookup(spark, sf, F.lit(True))
+
+
+def _call_prefix_lookup(spark, sf, which):
     c = read(spark, sf, "customer").select("c_custkey", canon.sha(F.col("c_name")).alias("key"))
-    asked = c.where("c_custkey <= 40").select(F.substring("key", 1, 2).alias("prefix")).union(spark.range(1).select(F.lit("zz"))).distinct()
+    asked = c.where(which).select(F.substring("key", 1, 2).alias("prefix")).union(spark.range(1).select(F.lit("zz"))).distinct()
     found = asked.join(c.select(F.substring("key", 1, 2).alias("prefix"), "key"), "prefix", "left").groupBy("prefix").agg(F.count("key").alias("n"))
     return found.select("prefix", F.when(F.col("n") == 0, "not found").when(F.col("n") == 1, "found").otherwise("ambiguous").alias("state"))
 

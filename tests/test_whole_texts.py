@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,3 +54,14 @@ def test_artifacts_are_of_whole_texts(spark, tmp_path):
     same_start = ["the same twenty letters and " + x for x in ("one", "two")]
     spark.createDataFrame(list(enumerate(same_start, 1)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [(r.hit, r.artifact) for r in rows(spark, str(tmp_path), "map_incremental_whole")] == [(True, t[::-1] + str(len(t))) for t in same_start]
+
+
+def test_all_keys_and_pages_are_asked(spark, tmp_path):
+    key = lambda i: hashlib.sha256(f"Customer#{i}".encode()).hexdigest()
+    keys = range(1, 200)
+    spark.createDataFrame([(i, f"Customer#{i}") for i in keys], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(i, f"<p>{i}") for i in (1, 2, 3)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    count = Counter(key(i)[:2] for i in keys)
+    want = {p: "found" if n == 1 else "ambiguous" for p, n in count.items()} | {"zz": "not found"}
+    assert {r.prefix: r.state for r in rows(spark, str(tmp_path), "call_prefix_lookup_all")} == want
+    assert [(r.page_id, r.digest) for r in rows(spark, str(tmp_path), "item_files_all")] == [(i, hashlib.sha256(f"<p>{i}".encode()).hexdigest()) for i in (1, 2, 3)]
