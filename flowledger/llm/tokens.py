@@ -29,7 +29,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.remembered, self.known = remembered, {}
         vocabulary = self.tokenizer.get_vocab()
         self.size_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id's token: one for each letter
