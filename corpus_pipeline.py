@@ -33,16 +33,21 @@ def quality_classifier(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of near duplicates, once."""
+    """The smallest document of each group of near duplicates; of rows with the same id and text, one.
+
+    Rows that share an id with different texts are one document for the comparison, and all stay or all go. A null id is in no
+    group, so each different text under it stays."""
     verdict = neardup.near_duplicates(docs)
     dropped = verdict.where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    rest = docs.join(dropped, "doc_id", "left_anti").withColumn("__text", F.xxhash64("text"))
+    return rest.dropDuplicates(["doc_id", "__text"]).select(*COLUMNS)
 
 
 def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows that hold no benchmark item, judged one by one: rows with a null id or one that repeats stand for their own text."""
+    marked = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    leaks = decontam.leaks(marked.select(F.col("__row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return marked.join(leaks.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(*COLUMNS)
 
 
 def best_fit_packing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
