@@ -1,17 +1,20 @@
 """Token-id files: an adaptive context-mixing range coder in independently reset, checksummed blocks.
 
-An id is coded as nibbles, the highest first. For each nibble three adaptive distributions over 16 values are looked up: by the
-nibbles before it alone (order 0), with the previous id (order 1), and with the two previous ids (order 2). They are mixed
-with weights that depend on how often the order-1 and order-2 contexts have been seen, and the weights move towards the order that
-predicted better. The mixture drives a carry-less 64-bit range coder. The model starts anew in every block, so each
-block can be read alone; a checksum covers all of it.
-
-Python is too slow to do this id by id. Blocks don't depend on each other, so LANES of them are coded side by side: each step is a
-few array operations over all lanes. Memory is bounded by LANES tables of ROWS rows. All arithmetic is on integers or on
-elementwise float32, which gives the same numbers when it is decoded.
+Each id is predicted by three orders. Order 0 gives every id a share by how often the block has had it (ids not had yet share a
+rest). Order 1 and order 2 name the id that last followed the previous id, and the previous two, with a confidence that rises when
+they are right and is halved when not. The predictions are mixed linearly: in each state (both confidences, and whether the two
+agree) the weights are the shares of hits that the block has seen there. The mixture drives a carry-less 64-bit range coder;
+an id that several orders predict is coded by the part of the highest of them. The model starts anew in every block, so each
+block can be read alone; a checksum covers all of it, and another one its ids.
+
+Python is too slow to do this id by id. A block is cut into up to STREAMS runs, each with a coder of its own, and the runs of up
+to GROUP blocks are coded side by side: each step is a few array operations over all of them. Runs of a block share its
+model: orders 1 and 2 learn after each step (of runs that meet in one place the last one counts), order 0 and the weights after
+1, 4, 16, 64... steps. Memory is bounded by GROUP blocks and their tables. All arithmetic is on integers.
 
 Files are rows of (file, block, n_ids, data) in a container that Spark writes to any store; `data` is a whole block, and files
-and blocks are in ascending order of document. A block names the documents whose ids it holds; a long one spans blocks.
+and blocks are in ascending order of document (rows with the same id: by a hash of the text). A block names the documents whose
+ids it holds; a long one spans blocks.
 
 Nulls: a null text has the end id only; a null document id is written as such and comes first. Repeated rows are written each.
 An empty table gives no blocks. Further columns are ignored.
@@ -31,198 +34,251 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import materialise, small_batches, table
+from .packing import END_ID
 from .tokens import encoder, public_path
 
-BLOCK, LANES = 4096, 1536
-MAGIC = b"IDCM"
-_HEAD = struct.Struct("<4sBBIIII")  # magic, version, nibbles, ids, segments, words, crc32 of the ids
+BLOCK, GROUP = 1 << 18, 8
+STREAMS, STREAM = 512, 512  # runs of a block at most, and ids that a run should have at least
+MAGIC, VERSION = b"IDCM", 2
+_HEAD = struct.Struct("<4sBIIIIII")  # magic, version, ids, segments, alphabet, entries of its dictionary, streams, crc32 of the ids
 #: A part of a document in a block: id, whether it is null, number in the file, ids of the file before it, part, ids.
 _SEGMENT = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("ordinal", "<u8"), ("start", "<u8"), ("part", "<u4"), ("n", "<u4")])
-LAST, HASHED = 512, 512  # rows for the last nibbles of order 0, and for all of order 1 and of order 2; hashed, a power of two
-ORDER0 = 1 + 16 + 256 + LAST
-ROWS = ORDER0 + 2 * HASHED
-FIRST_ROW = (0, 1, 17)
-SCALE, FASTEST, SLOWEST = 1 << 15, 1, 4
-LEARN = np.float32(1 / 32)
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64((1 << 32) - 1)
-WORD, HIGH = np.uint64(16), np.uint64(48)
+DENSE = 1 << 17  # ids of a block that has larger ones are numbered by a dictionary in the block
+BITS1, BITS2 = 13, 15  # rows of order 1 and order 2 for each block, as powers of two
+EACH = 3  # how much more than a new id an id of the block counts for order 0, as a power of two
+MASS = 9  # the weights sum to 2^MASS
+REFRESH = frozenset(4**i for i in range(16))  # steps before which order 0 and the weights take in what was coded
+WORD, LIMIT = np.uint64(32), np.uint64(1 << 32)  # bits of a word; ranges stay at LIMIT at least
+#: Confidence and whether it was right -> what is added to a row, and whether it starts anew.
+STEP = np.array([0, 0, -1, -2, -2, -3, -3, -4, 1, 1, 1, 1, 1, 1, 1, 0], np.int8).astype(np.uint32)
+ANEW = np.array([1, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0], bool)
 
 
 class Model:
-    """The distributions and weights of all lanes. Arrays go by order first, so that each step runs over adjoining numbers."""
-
-    def __init__(self, lanes: int) -> None:
-        self.table = np.full((lanes * ROWS, 16), SCALE // 16, np.uint16)
-        self.whole = self.table.view("V32").reshape(-1)  # a row as one value: far faster to put back
-        self.seen = np.zeros(lanes * ROWS, np.uint8)
-        self.weights = np.repeat(np.array([[0.4], [0.3], [0.3]], np.float32), lanes * 16, axis=1)
-        self.base = np.arange(lanes, dtype=np.int64) * ROWS
-        self.sets = np.arange(lanes, dtype=np.int64) * 16
-
-    def start(self, lanes: int, one: np.ndarray, two: np.ndarray) -> None:
-        """Contexts of the next id of the first `lanes` lanes: the previous id and the one before it."""
-        self.context = np.empty((2, lanes), np.uint32)
-        np.multiply(one, np.uint32(0x9E3779B1), out=self.context[0])
-        self.context[1] = self.context[0] ^ (two * np.uint32(0x85EBCA77) + np.uint32(0x27220A95))
-        self.lanes, self.start_of = lanes, np.arange(0, 16 * lanes, 16)
-        self.places = np.arange(0, 48 * lanes, 16).reshape(3, lanes)
-
-    def predict(self, j: int, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Frequencies of the 16 values of each lane, their sums over all lanes and values so far, and each lane's part of the sum."""
+    """What a group of blocks has seen, for runs (`lanes`) of known blocks, the longest first."""
+
+    def __init__(self, block: np.ndarray, alphabet: np.ndarray) -> None:
+        self.block, self.alphabet, n = block, alphabet, len(alphabet)
+        self.width = int(alphabet.max(initial=1))
+        self.count = np.zeros(n * self.width, np.int32)
+        self.new = np.arange(n * self.width) % max(self.width, 1)
+        self.part = self.new  # where the part of an id begins in order 0 (high half), and how long it is (low half)
+        self.one, self.two = np.zeros(n << BITS1, np.uint32), np.zeros(n << BITS2, np.uint32)
+        states = np.arange(128)
+        sure2, sure1, agree = states >> 4, (states >> 1) & 7, states & 1
+        prior = lambda c: np.where(c > 0, (c + 0.2) / (c + 3.0), 0.002)
+        start = np.stack([np.ones(128), prior(sure2), np.where(agree, 0, 0.7 * (1 - prior(sure2)) * prior(sure1))]) * 4
+        self.seen = np.repeat(start[:, None, :], n, axis=1).reshape(3, -1)  # times, hits of order 2, hits of order 1 alone
+        self.base_of, self.base1, self.base2, self.base_state = (block * k for k in (self.width, 1 << BITS1, 1 << BITS2, 128))
+        self.states: list[np.ndarray] = []
+        self.refresh(np.zeros(0, np.int64))
+
+    def refresh(self, keys: np.ndarray) -> None:
+        """Take in what was coded since the last time: block * width + id of each id."""
+        if len(keys) < len(self.count) // 16:
+            np.add.at(self.count, keys, 1)
+        else:
+            self.count += np.bincount(keys, minlength=len(self.count)).astype(np.int32)
+        reached = np.cumsum(self.count, dtype=np.int64)
+        self.order = np.repeat(np.arange(len(self.count), dtype=np.int32), self.count) if reached[-1:].any() else np.zeros(1, np.int32)
+        ends = reached[self.width - 1 :: self.width]
+        total = np.diff(ends, prepend=0)
+        self.before, self.ids = (ends - total)[self.block], (total << EACH)[self.block]
+        self.total = (self.ids + self.alphabet[self.block]) << MASS
+        old = (reached - self.count - np.repeat(ends - total, self.width)) << (32 + EACH) | self.count.astype(np.int64) << EACH
+        self.part = np.where(self.count > 0, old, (self.new + np.repeat(total << EACH, self.width)) << 32 | 1)
+        for state, hit2, hit1 in self.states:
+            for k, x in enumerate((state, state[hit2], state[hit1])):
+                self.seen[k] += np.bincount(x, minlength=self.seen.shape[1])
+        self.states = []
+        share = ((1 << MASS) - 16) * self.seen[1:] / (self.seen[0] + 0.5)
+        self.weight2 = np.maximum(share[0].astype(np.int64), 1)
+        self.weights = self.weight2 + np.maximum(share[1].astype(np.int64), 1)
+
+    def predict(self, one: np.ndarray, two: np.ndarray) -> None:
+        """For the next id of the first lanes, of the previous id and the one before: candidates and weights."""
+        n = self.lanes = len(one)
+        mixed = one * np.uint32(0x9E3779B1)
+        self.at1 = (mixed >> np.uint32(32 - BITS1)) + self.base1[:n]
+        self.at2 = ((mixed ^ (two * np.uint32(0x85EBCA77) + np.uint32(0x27220A95))) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - BITS2)) + self.base2[:n]
+        self.held1, self.held2 = self.one.take(self.at1), self.two.take(self.at2)
+        self.guess1, self.guess2 = self.held1 >> np.uint32(3), self.held2 >> np.uint32(3)
+        self.sure1, self.sure2 = self.held1 & np.uint32(7), self.held2 & np.uint32(7)
+        state = (self.sure2 << np.uint32(4)) | (self.sure1 << np.uint32(1)) | (self.guess1 == self.guess2)
+        self.state = self.base_state[:n] + state
+        weights = self.weights.take(self.state)
+        self.left = (1 << MASS) - weights
+        total = self.total[:n] >> MASS
+        self.part2, self.parts = self.weight2.take(self.state) * total, weights * total
+
+    def hits(self, value: np.ndarray) -> None:
+        self.hit2, self.right1 = value == self.guess2, value == self.guess1
+        self.hit1 = self.right1 & ~self.hit2
+
+    def interval(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the part of an id begins, and how long it is, of `total`."""
+        part = self.part.take(self.base_of[: self.lanes] + value)
+        low, long = (part >> 32) * self.left + self.parts, (part & 0xFFFFFFFF) * self.left
+        np.copyto(low, self.part2, where=self.hit1)
+        np.copyto(long, self.parts - self.part2, where=self.hit1)
+        np.copyto(low, 0, where=self.hit2)
+        np.copyto(long, self.part2, where=self.hit2)
+        return low.view(np.uint64), long.view(np.uint64)
+
+    def value_at(self, at: np.ndarray) -> np.ndarray:
+        """The id in whose part a number is."""
         n = self.lanes
-        tag = (prefix.astype(np.uint32) * np.uint32(16) + np.uint32(j)) * np.uint32(0xC2B2AE3D)
-        at = np.empty((3, n), np.int64)
-        at[0] = FIRST_ROW[j] + prefix if j < 3 else 273 + (((tag ^ (tag >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(33 - LAST.bit_length()))
-        at[1:] = ((self.context ^ tag) * np.uint32(0x27D4EB2F)) >> np.uint32(33 - HASHED.bit_length())
-        at[1] += ORDER0
-        at[2] += ORDER0 + HASHED
-        at += self.base[:n]
-        self.at, self.rows = at, self.table.take(at, axis=0)
-        self.times = self.seen.take(at)
-        self.set = self.sets[:n] + (self.times[1] * np.uint8(4) + self.times[2])
-        self.weight = self.weights.take(self.set, axis=1)
-        mixed = self.rows.astype(np.float32)
-        mixed *= np.repeat(self.weight, 16, axis=1).reshape(3, n, 16)
-        total = mixed[0] + mixed[1]
-        total += mixed[2]
-        freq = total.astype(np.int64).reshape(-1)
-        freq += 1
-        upto = np.cumsum(freq)
-        ends = upto[15::16]
-        return freq, upto, np.diff(ends, prepend=0)
-
-    def update(self, value: np.ndarray) -> None:
-        place = self.places + value
-        flat = self.rows.reshape(-1)
-        part = flat.take(place).astype(np.float32)
-        part *= self.weight
-        total = part[0] + part[1]
-        total += part[2]
-        part /= total
-        part -= self.weight
-        part *= LEARN
-        part += self.weight
-        self.weights[:, self.set] = part
-        rate = np.minimum(self.times + np.uint8(FASTEST), np.uint8(SLOWEST)).astype(np.uint16)
-        rows = flat - (flat >> np.repeat(rate.reshape(-1), 16))
-        rows[place] += np.uint16(SCALE) >> rate
-        self.whole[self.at.reshape(-1)] = rows.view("V32")
-        self.seen[self.at] = np.minimum(self.times + np.uint8(1), np.uint8(3))
-
-
-def _values(upto: np.ndarray, at: np.ndarray, lanes: int) -> np.ndarray:
-    """For each lane how many of its 16 sums are at most its number in `at`; eight truth values are added as the bytes of a word."""
-    under = (upto.reshape(lanes, 16) <= at[:, None]).view(np.uint64)
-    return (((under[:, 0] + under[:, 1]) * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
-
-
-def _by_length(sizes: list[int]) -> np.ndarray:
-    return np.argsort(-np.array(sizes), kind="stable")
-
-
-def compress(blocks: list[np.ndarray], nibbles: int) -> list[np.ndarray]:
-    """The coded words (uint16) of each block of ids (uint32)."""
-    order = _by_length([len(b) for b in blocks])
-    sizes = np.array([len(blocks[i]) for i in order], np.int64)
-    lanes, steps = len(blocks), int(sizes.max(initial=0))
-    ids = np.zeros((steps + 2, lanes), np.uint32)  # two zeros come before the first id
-    for lane, i in enumerate(order):
-        ids[2 : 2 + sizes[lane], lane] = blocks[i]
-    out = np.zeros((lanes, steps * nibbles + 8), np.uint16)
-    put = np.zeros(lanes, np.int64)
-    low, wide = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    model = Model(lanes)
-    for t in range(steps):
-        n = int(np.searchsorted(-sizes, -t, "left"))  # lanes with more than t ids
-        model.start(n, ids[t + 1, :n], ids[t, :n])
-        prefix, lo, rng = np.zeros(n, np.int64), low[:n], wide[:n]
-        for j in range(nibbles):
-            value = (ids[t + 2, :n] >> np.uint32(4 * (nibbles - 1 - j))) & np.uint32(15)
-            value = value.astype(np.int64)
-            freq, upto, total = model.predict(j, prefix)
-            step = rng // total.astype(np.uint64)
-            place = model.start_of + value
-            own = freq.take(place)
-            lo += step * (upto.take(place) - own - (upto[15::16] - total)).astype(np.uint64)
-            np.multiply(step, own.astype(np.uint64), out=rng)
-            model.update(value)
-            prefix = prefix * 16 + value
-            while True:
-                settled = (lo ^ (lo + rng)) < TOP
-                need = np.flatnonzero(settled | (rng <= BOTTOM))
-                if not len(need):
-                    break
-                a, r = lo[need], rng[need]
-                r = np.where(settled[need], r, (np.uint64(0) - a) & BOTTOM)
-                out[need, put[need]] = (a >> HIGH).astype(np.uint16)
-                put[need] += 1
-                lo[need], rng[need] = a << WORD, r << WORD
-    each = np.arange(lanes)
-    for _ in range(4):
-        out[each, put] = (low >> HIGH).astype(np.uint16)
-        put += 1
-        low <<= WORD
-    made: list[np.ndarray] = [out[0, :0]] * lanes
-    for lane, i in enumerate(order):
-        made[i] = out[lane, : put[lane]].copy()
+        rest = (np.maximum(at - self.parts, 0).view(np.uint64) // self.left.view(np.uint64)).view(np.int64)
+        value = self.order.take((rest >> EACH) + self.before[:n], mode="clip") - self.base_of[:n]
+        fresh = rest - self.ids[:n]
+        np.copyto(value, fresh, where=fresh >= 0)
+        np.copyto(value, self.guess1, where=at < self.parts)
+        np.copyto(value, self.guess2, where=at < self.part2)
+        return value
+
+    def learn(self, value: np.ndarray) -> None:
+        self.states.append((self.state, self.hit2, self.hit1))
+        fresh = (value << np.uint32(3)) + np.uint32(1)
+        for rows, at, held, right, sure in ((self.one, self.at1, self.held1, self.right1, self.sure1), (self.two, self.at2, self.held2, self.hit2, self.sure2)):
+            which = sure + right * np.uint32(8)
+            held = held + STEP.take(which)
+            np.copyto(held, fresh, where=ANEW.take(which))
+            rows[at] = held
+
+
+class Lanes:
+    """The runs of a group of blocks, the longest first; runs of one block stay in order."""
+
+    def __init__(self, sizes: list[int]) -> None:
+        n = np.array(sizes, np.int64)
+        self.streams = np.clip(n // STREAM, np.minimum(n, 1), STREAMS)
+        steps = -(-n // np.maximum(self.streams, 1))
+        block = np.repeat(np.arange(len(n)), self.streams)
+        stream = np.arange(len(block)) - np.repeat(np.cumsum(self.streams) - self.streams, self.streams)
+        size = np.minimum(steps[block], n[block] - stream * steps[block])
+        self.lane = np.argsort(-size, kind="stable")
+        self.block, self.size, self.start = block[self.lane], size[self.lane], (stream * steps[block])[self.lane]
+        self.steps = int(size.max(initial=0))
+
+    def active(self, t: int) -> int:
+        return int(np.searchsorted(-self.size, -t, "left"))
+
+
+def _settle(lo: np.ndarray, rng: np.ndarray):
+    """Lanes that can give up a word, with their low ends before; until none can."""
+    need = np.flatnonzero(((lo ^ (lo + rng)) < LIMIT) | (rng < LIMIT))
+    while len(need):
+        a, r = lo[need], rng[need]
+        r = np.where((a ^ (a + r)) < LIMIT, r, (np.uint64(0) - a) & (LIMIT - np.uint64(1)))
+        yield need, a
+        a, r = a << WORD, r << WORD
+        lo[need], rng[need] = a, r
+        need = need[((a ^ (a + r)) < LIMIT) | (r < LIMIT)]
+
+
+def _run(lanes: Lanes, alphabet: list[int], ids: np.ndarray, code) -> None:
+    """Go through all ids: code(model, lanes of the step, ids of the step) codes them, or fills them in."""
+    model, since = Model(lanes.block, np.array(alphabet, np.int64)), 0
+    for t in range(lanes.steps):
+        if t in REFRESH:
+            keys = [ids[s + 2, :k] + lanes.block[:k] * model.width for s in range(since, t) for k in [lanes.active(s)]]
+            model.refresh(np.concatenate(keys))
+            since = t
+        n = lanes.active(t)
+        model.predict(ids[t + 1, :n], ids[t, :n])
+        value = code(model, n, ids[t + 2, :n])
+        model.learn(value)
+
+
+def compress(blocks: list[np.ndarray], alphabet: list[int]) -> list[list[np.ndarray]]:
+    """The coded words (uint32) of each run of each block of ids (uint32) below its alphabet."""
+    lanes = Lanes([len(b) for b in blocks])
+    n = len(lanes.block)
+    ids = np.zeros((lanes.steps + 2, n), np.uint32)  # two zeros come before the first id
+    for i, (b, a, size) in enumerate(zip(lanes.block.tolist(), lanes.start.tolist(), lanes.size.tolist(), strict=True)):
+        ids[2 : 2 + size, i] = blocks[b][a : a + size]
+    out = np.zeros((n, lanes.steps * 2 + 4), np.uint32)
+    put = np.zeros(n, np.int64)
+    low, wide = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
+
+    def code(model: Model, k: int, value: np.ndarray) -> np.ndarray:
+        lo, rng = low[:k], wide[:k]
+        model.hits(value)
+        begin, long = model.interval(value)
+        step = rng // model.total[:k].view(np.uint64)
+        lo += step * begin
+        np.multiply(step, long, out=rng)
+        for need, a in _settle(lo, rng):
+            out[need, put[need]] = a >> WORD
+            put[need] += 1
+        return value
+
+    _run(lanes, alphabet, ids, code)
+    # one number within what is left, with as few words as it needs
+    end = (low + LIMIT - np.uint64(1)) >> WORD << WORD
+    short = (end >= low) & (end - low < wide)
+    end = np.where(short, end, low)
+    each = np.arange(n)
+    out[each, put] = end >> WORD
+    out[each, put + 1] = end & (LIMIT - np.uint64(1))
+    put += np.where(short, 1, 2)
+    made: list[list[np.ndarray]] = [[np.zeros(0, np.uint32)] * int(k) for k in lanes.streams]
+    first = np.cumsum(lanes.streams) - lanes.streams
+    for i, (lane, b) in enumerate(zip(lanes.lane.tolist(), lanes.block.tolist(), strict=True)):
+        made[b][lane - int(first[b])] = out[i, : put[i]].copy()
     return made
 
 
-def decompress(coded: list[np.ndarray], sizes: list[int], nibbles: int) -> list[np.ndarray]:
+def decompress(coded: list[list[np.ndarray]], sizes: list[int], alphabet: list[int]) -> list[np.ndarray]:
     """The ids of blocks of so many ids."""
-    order = _by_length(sizes)
-    lengths = np.array(sizes, np.int64)[order]
-    lanes, steps = len(coded), int(lengths.max(initial=0))
-    words = np.zeros((lanes, max((len(c) for c in coded), default=0) + 8), np.uint64)
-    for lane, i in enumerate(order):
-        words[lane, : len(coded[i])] = coded[i]
-    code = np.zeros(lanes, np.uint64)
-    for k in range(4):
-        code = (code << WORD) | words[:, k]
-    take = np.full(lanes, 4, np.int64)
-    low, wide = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    ids = np.zeros((steps + 2, lanes), np.uint32)
-    model = Model(lanes)
-    for t in range(steps):
-        n = int(np.searchsorted(-lengths, -t, "left"))
-        model.start(n, ids[t + 1, :n], ids[t, :n])
-        prefix, lo, rng, now = np.zeros(n, np.int64), low[:n], wide[:n], code[:n]
-        for j in range(nibbles):
-            freq, upto, total = model.predict(j, prefix)
-            step = rng // total.astype(np.uint64)
-            before = upto[15::16] - total
-            value = _values(upto, np.minimum((now - lo) // step, (total - 1).astype(np.uint64)).astype(np.int64) + before, n)
-            place = model.start_of + value
-            own = freq.take(place)
-            lo += step * (upto.take(place) - own - before).astype(np.uint64)
-            np.multiply(step, own.astype(np.uint64), out=rng)
-            model.update(value)
-            prefix = prefix * 16 + value
-            while True:
-                settled = (lo ^ (lo + rng)) < TOP
-                need = np.flatnonzero(settled | (rng <= BOTTOM))
-                if not len(need):
-                    break
-                a, r = lo[need], rng[need]
-                r = np.where(settled[need], r, (np.uint64(0) - a) & BOTTOM)
-                now[need] = (now[need] << WORD) | words[need, take[need]]
-                take[need] += 1
-                lo[need], rng[need] = a << WORD, r << WORD
-        ids[t + 2, :n] = prefix
-    made: list[np.ndarray] = [ids[:0, 0]] * lanes
-    for lane, i in enumerate(order):
-        made[i] = ids[2 : 2 + lengths[lane], lane].copy()
+    lanes = Lanes(sizes)
+    n = len(lanes.block)
+    runs = [run for block in coded for run in block]
+    words = np.zeros((n, max(map(len, runs), default=0) + 4), np.uint32)
+    for i, lane in enumerate(lanes.lane.tolist()):
+        words[i, : len(runs[lane])] = runs[lane]
+    now = np.zeros(n, np.uint64)
+    for k in range(2):
+        now = (now << WORD) | words[:, k]
+    take = np.full(n, 2, np.int64)
+    most = words.shape[1] - 1
+    low, wide = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
+    ids = np.zeros((lanes.steps + 2, n), np.uint32)
+
+    def code(model: Model, k: int, value: np.ndarray) -> np.ndarray:
+        lo, rng, at = low[:k], wide[:k], now[:k]
+        total = model.total[:k].view(np.uint64)
+        step = rng // total
+        value[:] = model.value_at(np.minimum((at - lo) // step, total - np.uint64(1)).view(np.int64))
+        model.hits(value)
+        begin, long = model.interval(value)
+        lo += step * begin
+        np.multiply(step, long, out=rng)
+        for need, _ in _settle(lo, rng):
+            at[need] = (at[need] << WORD) | words[need, np.minimum(take[need], most)]
+            take[need] += 1
+        return value
+
+    _run(lanes, alphabet, ids, code)
+    made = [np.zeros(k, np.uint32) for k in sizes]
+    for i, (b, a, size) in enumerate(zip(lanes.block.tolist(), lanes.start.tolist(), lanes.size.tolist(), strict=True)):
+        made[b][a : a + size] = ids[2 : 2 + size, i]
     return made
 
 
 def write_blocks(blocks: list[tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
     """Each block's bytes, for its segments (_SEGMENT) and ids."""
-    most = max((int(ids.max(initial=0)) for _, ids in blocks), default=0)
-    nibbles = max(4, -(-most.bit_length() // 4))
+    names, coded, alphabet = [], [], []
+    for _, ids in blocks:
+        most = int(ids.max(initial=0)) + 1
+        held = np.unique(ids) if most > DENSE else ids[:0]
+        names.append(held)
+        coded.append(np.searchsorted(held, ids).astype(np.uint32) if len(held) else ids)
+        alphabet.append(len(held) or most)
     out = []
-    for (segments, ids), words in zip(blocks, compress([ids for _, ids in blocks], nibbles), strict=True):
-        body = _HEAD.pack(MAGIC, 1, nibbles, len(ids), len(segments), len(words), zlib.crc32(ids.astype("<u4").tobytes()))
-        body += segments.tobytes() + words.astype("<u2").tobytes()
+    for (segments, ids), held, size, runs in zip(blocks, names, alphabet, compress(coded, alphabet), strict=True):
+        body = _HEAD.pack(MAGIC, VERSION, len(ids), len(segments), size, len(held), len(runs), zlib.crc32(ids.astype("<u4").tobytes()))
+        body += segments.tobytes() + held.astype("<u4").tobytes() + np.array([len(r) for r in runs], "<u4").tobytes() + b"".join(r.astype("<u4").tobytes() for r in runs)
         out.append(body + struct.pack("<I", zlib.crc32(body)))
     return out
 
@@ -233,93 +289,122 @@ def read_blocks(blocks: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     for data in blocks:
         if len(data) < _HEAD.size + 4 or zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
             raise ValueError("a block's checksum is wrong")
-        magic, version, nibbles, n, segments, words, crc = _HEAD.unpack_from(data)
-        if magic != MAGIC or version != 1:
+        magic, version, n, segments, size, entries, streams, crc = _HEAD.unpack_from(data)
+        if magic != MAGIC or version != VERSION:
             raise ValueError("not a block of this format")
         at = _HEAD.size + segments * _SEGMENT.itemsize
-        heads.append((np.frombuffer(data, _SEGMENT, segments, _HEAD.size), n, nibbles, crc))
-        coded.append(np.frombuffer(data, "<u2", words, at))
-    made: list[np.ndarray | None] = [None] * len(blocks)
-    for nibbles in {h[2] for h in heads}:
-        which = [i for i, h in enumerate(heads) if h[2] == nibbles]
-        for i, ids in zip(which, decompress([coded[i] for i in which], [heads[i][1] for i in which], nibbles), strict=True):
-            if zlib.crc32(ids.astype("<u4").tobytes()) != heads[i][3]:
-                raise ValueError("a block's ids don't match their checksum")
-            made[i] = ids
-    return [(h[0], ids) for h, ids in zip(heads, made, strict=True)]
-
-
-def encoded(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", block: int = BLOCK, lanes: int = LANES) -> DataFrame:
+        held = np.frombuffer(data, "<u4", entries, at)
+        at += 4 * entries
+        long = np.frombuffer(data, "<u4", streams, at).astype(np.int64)
+        words = np.frombuffer(data, "<u4", int(long.sum()), at + 4 * streams)
+        heads.append((np.frombuffer(data, _SEGMENT, segments, _HEAD.size), n, size, held, crc))
+        coded.append(np.split(words, np.cumsum(long)[:-1]) if streams else [])
+    out = []
+    for (segments, _, _, held, crc), ids in zip(heads, decompress(coded, [h[1] for h in heads], [h[2] for h in heads]), strict=True):
+        ids = held[ids] if len(held) else ids
+        if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+            raise ValueError("a block's ids don't match their checksum")
+        out.append((segments, ids))
+    return out
+
+
+def encoded(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """(file, block, n_ids, data) of all documents (the key a number), in files by ascending key."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    dealt = rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("__tie", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "__tie").sortWithinPartitions("doc_id", "__tie", "text")
 
     def run(batches):
         file, encode = TaskContext.get().partitionId(), encoder(path)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        parts: list[np.ndarray] = []
-        segments: list[tuple] = []
-        room, number, ordinal, total = block, 0, 0, 0
-
-        def close() -> None:
-            nonlocal room, parts, segments
-            if segments:
-                held.append((np.array(segments, _SEGMENT), np.concatenate(parts)))
-            parts, segments, room = [], [], block
-
-        def written():
-            nonlocal number
-            made = write_blocks(held)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([file] * len(made), pa.int64()), pa.array(range(number, number + len(made)), pa.int64()), pa.array([len(ids) for _, ids in held], pa.int64()), pa.array(made, pa.binary())],
-                names=["file", "block", "n_ids", "data"],
-            )
-            number += len(made)
-            held.clear()
-
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # segments and ids, in order
+        written = ordinal = total = 0
+
+        def blocks(last: bool):
+            """Full groups of blocks of what is held, or all of it."""
+            nonlocal held, written
+            segments, ids = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, _SEGMENT), np.zeros(0, np.uint32))
+            ends = np.cumsum(segments["n"].astype(np.int64))
+            at = done = 0
+            while len(ids) - at >= block * group or (last and at < len(ids)):
+                some = []
+                for a in range(at, min(at + block * group, len(ids)), block):
+                    upto = int(np.searchsorted(ends, min(a + block, len(ids)))) + 1
+                    some.append((segments[done:upto], ids[a : a + block]))
+                    done = upto
+                made = write_blocks(some)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([file] * len(made), pa.int64()), pa.array(range(written, written + len(made)), pa.int64()), pa.array([len(x) for _, x in some], pa.int64()), pa.array(made, pa.binary())],
+                    names=["file", "block", "n_ids", "data"],
+                )
+                written += len(made)
+                at = min(at + block * group, len(ids))
+            held = [(segments[done:], ids[at:])]
+
+        waiting = 0
         for batch in batches:
-            for name, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                ids = np.append(np.frombuffer(ids, "<u4"), np.uint32(0))
-                at = part = 0
-                while at < len(ids):
-                    n = min(room, len(ids) - at)
-                    segments.append((name or 0, name is None, ordinal, total, part, n))
-                    parts.append(ids[at : at + n])
-                    at, part, total, room = at + n, part + 1, total + n, room - n
-                    if not room:
-                        close()
-                        if len(held) >= lanes:
-                            yield from written()
-                ordinal += 1
-        close()
-        if held:
-            yield from written()
+            ids, at = encode.column(batch.column(1))
+            ids = np.insert(ids, at[1:], END_ID)
+            size = np.diff(at) + 1
+            start = total + np.cumsum(size) - size
+            first, parts = start // block, (start + size - 1) // block - start // block + 1
+            doc = np.repeat(np.arange(len(size)), parts)
+            segments = np.zeros(len(doc), _SEGMENT)
+            segments["doc_id"], segments["null"] = batch.column(0).fill_null(0).to_numpy()[doc], batch.column(0).is_null().to_numpy(zero_copy_only=False)[doc]
+            segments["ordinal"], segments["start"] = ordinal + doc, start[doc]
+            segments["part"] = part = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+            low = np.maximum(start[doc], (first[doc] + part) * block)
+            segments["n"] = np.minimum((start + size)[doc], (first[doc] + part + 1) * block) - low
+            held.append((segments, ids))
+            ordinal, total, waiting = ordinal + len(size), total + len(ids), waiting + len(ids)
+            if waiting >= block * group:
+                yield from blocks(False)
+                waiting = len(held[0][1])
+        yield from blocks(True)
 
     return dealt.mapInArrow(run, "file long, block long, n_ids long, data binary")
 
 
-def decoded(blocks: DataFrame, lanes: int = LANES) -> DataFrame:
+def _read(batches, group: int, columns):
+    """Batches of the segments of blocks (file, data): columns(ids, where each segment's begin and end) after file, doc_id, ordinal, start and part."""
+    for batch in batches:
+        for a in range(0, len(batch), group):
+            some = batch.slice(a, group)
+            read = read_blocks([x.as_py() for x in some.column(1)])
+            if not read:
+                continue
+            segments = np.concatenate([s for s, _ in read])
+            file = np.repeat(some.column(0).to_numpy(), [len(s) for s, _ in read])
+            at = np.concatenate([[0], np.cumsum(segments["n"].astype(np.int64))])
+            fixed = [pa.array(file), pa.array(segments["doc_id"], mask=segments["null"].astype(bool)), *(pa.array(segments[c].astype(np.int64)) for c in ("ordinal", "start", "part"))]
+            yield fixed + columns(np.concatenate([ids for _, ids in read]).astype("<u4"), at)
+
+
+_PLACE = "file long, doc_id long, ordinal long, start long, part long"
+
+
+def decoded(blocks: DataFrame, group: int = GROUP) -> DataFrame:
     """(file, doc_id, ordinal, start, part, ids) of each document's part in each block; start counts the ids of its file before it."""
 
     def run(batches):
-        for batch in batches:
-            for a in range(0, len(batch), lanes):
-                some = batch.slice(a, lanes)
-                cols: list[list] = [[], [], [], [], [], []]
-                for file, (segments, ids) in zip(some.column(0).to_pylist(), read_blocks([x.as_py() for x in some.column(1)]), strict=True):
-                    ends = np.cumsum(segments["n"].astype(np.int64))
-                    raw = ids.astype("<u4").tobytes()
-                    cols[0] += [file] * len(segments)
-                    cols[1] += [None if null else int(d) for d, null in zip(segments["doc_id"], segments["null"], strict=True)]
-                    cols[2] += segments["ordinal"].tolist()
-                    cols[3] += segments["start"].tolist()
-                    cols[4] += segments["part"].tolist()
-                    cols[5] += [raw[4 * x : 4 * y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["file", "doc_id", "ordinal", "start", "part", "ids"])
-
-    return blocks.select("file", "data").mapInArrow(run, "file long, doc_id long, ordinal long, start long, part long, ids binary")
+        held = lambda ids, at: [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * 4), pa.py_buffer(ids)]).cast(pa.binary())]
+        for cols in _read(batches, group, held):
+            yield pa.RecordBatch.from_arrays(cols, names=["file", "doc_id", "ordinal", "start", "part", "ids"])
+
+    return blocks.select("file", "data").mapInArrow(run, f"{_PLACE}, ids binary")
+
+
+def digests(blocks: DataFrame, group: int = GROUP) -> DataFrame:
+    """As `decoded`, with the number of ids and their crc32 in place of the ids, so that these don't leave the reader."""
+
+    def run(batches):
+        def sums(ids, at):
+            raw = memoryview(ids.tobytes())
+            return [pa.array(np.diff(at)), pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64())]
+
+        for cols in _read(batches, group, sums):
+            yield pa.RecordBatch.from_arrays(cols, names=["file", "doc_id", "ordinal", "start", "part", "n", "crc"])
+
+    return blocks.select("file", "data").mapInArrow(run, f"{_PLACE}, n long, crc long")
 
 
 def crc32_combine(a: int, b: int, n: int) -> int:
@@ -359,7 +444,7 @@ def _joined_crc(parts: pd.Series) -> pd.Series:
 
 def catalogue(blocks: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each written document, from the decoded ids; start counts all ids before it."""
-    whole = decoded(blocks).select("file", "doc_id", "ordinal", "start", F.struct("part", F.crc32("ids").alias("crc"), (F.length("ids") / 4).cast("long").alias("n")).alias("p"))
+    whole = digests(blocks).select("file", "doc_id", "ordinal", "start", F.struct("part", "crc", "n").alias("p"))
     docs = whole.groupBy("file", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("inside"), F.sum("p.n").alias("n_tokens"), F.array_sort(F.collect_list("p")).alias("parts"))
     single: Column = F.col("parts")[0]["crc"]
     docs = docs.withColumn("ids_crc32", F.when(F.size("parts") == 1, single).otherwise(F.pandas_udf(_joined_crc, "long")("parts")))

@@ -5,7 +5,8 @@ length are sequences of their own. Every other document leaves one piece, so the
 packed. Documents are dealt by a hash of their row into shards of about SHARD; a shard is packed alone, so that no task
 and no driver sees all of them, and the loss is a few open sequences for each shard. In a shard pieces come by falling
 length, and each goes where the sum over gaps g of (open sequences with gap g)^2 becomes smallest; the tightest place wins ties. A
-new sequence is opened where no open one has room.
+new sequence is opened only where no open one has room: this variant of the method never opens one to lower the sum, since it
+packs for few sequences. Pieces are placed as they stream by, so a task holds a batch and the open sequences, not a shard.
 
 Nulls: a null text is empty, and its only id is the end id; a null document id is kept. Repeated rows are packed one by one.
 An empty table gives no pieces. Columns of the input other than the key and the text are ignored.
@@ -32,56 +33,58 @@ def pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, key: str = "
     small_batches(docs.sparkSession)
     narrow = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = narrow.schema["key"].dataType.simpleString()
-    end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
         encode = encoder(path)
         for batch in batches:
-            at, piece, start, length, ids = [], [], [], [], []
-            for i, held in enumerate(encode(batch.column(1).to_pylist())):
-                held += end
-                n = len(held) // 4
-                cuts = [0, *range(n % capacity or capacity, n, capacity), n]
-                for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    at.append(i)
-                    piece.append(p)
-                    start.append(a)
-                    length.append(b - a)
-                    ids.append(held[4 * a : 4 * b])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-                names=["key", "piece", "start", "length", "ids"],
-            )
+            ids, at = encode.column(batch.column(1))
+            ids = np.insert(ids, at[1:], END_ID)
+            total = np.diff(at) + 1
+            count = -(-total // capacity)
+            doc = np.repeat(np.arange(len(total)), count)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            first = (total - (count - 1) * capacity)[doc]
+            length = np.where(piece == 0, first, capacity)
+            start = np.where(piece == 0, 0, first + (piece - 1) * capacity)
+            ends = np.concatenate([[0], np.cumsum(length)]) * 4
+            held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), held.cast(pa.binary())], names=["key", "piece", "start", "length", "ids"])
 
     return narrow.mapInArrow(run, f"key {kind}, piece int, start long, length long, ids binary").withColumnRenamed("key", key)
 
 
-def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of pieces in the given order, by the sum of squares."""
-    count = np.zeros(capacity + 1, np.int64)  # open sequences by gap
-    bins: list[list[int]] = [[] for _ in range(capacity + 1)]
-    sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    opened = 0
-    for i, size in enumerate(lengths.tolist()):
-        tail = count[size:]
-        gaps = tail.nonzero()[0]
-        if len(gaps):
-            after = count[gaps]
-            # the sum grows by 2 * (count of the gap left - count of the gap taken) + 2, less 2 * 0 + 1 where no gap is left
-            change = 2 * (after - tail[gaps]) + 2
-            if gaps[0] == 0:
-                change[0] = 1 - 2 * tail[0]
-            gap = int(gaps[change.argmin()]) + size
-            where = bins[gap].pop()
-            count[gap] -= 1
-        else:
-            gap, where = capacity, opened
-            opened += 1
-        sequence[i], offset[i] = where, capacity - gap
-        if gap > size:
-            bins[gap - size].append(where)
-            count[gap - size] += 1
-    return sequence, offset
+class Placer:
+    """Places pieces of one shard, as they come, by the sum of squares. It holds open sequences only, no pieces."""
+
+    def __init__(self, capacity: int) -> None:
+        self.capacity, self.opened = capacity, 0
+        self.count = np.zeros(capacity + 1, np.int64)  # open sequences by gap
+        self.bins: list[list[int]] = [[] for _ in range(capacity + 1)]
+
+    def place(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sequence, offset) of each of the next pieces."""
+        count, bins, capacity = self.count, self.bins, self.capacity
+        sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        for i, size in enumerate(lengths.tolist()):
+            tail = count[size:]
+            gaps = tail.nonzero()[0]
+            if len(gaps):
+                after = count[gaps]
+                # the sum grows by 2 * (count of the gap left - count of the gap taken) + 2, less 2 * 0 + 1 where no gap is left
+                change = 2 * (after - tail[gaps]) + 2
+                if gaps[0] == 0:
+                    change[0] = 1 - 2 * tail[0]
+                gap = int(gaps[change.argmin()]) + size
+                where = bins[gap].pop()
+                count[gap] -= 1
+            else:
+                gap, where = capacity, self.opened
+                self.opened += 1
+            sequence[i], offset[i] = where, capacity - gap
+            if gap > size:
+                bins[gap - size].append(where)
+                count[gap - size] += 1
+        return sequence, offset
 
 
 def pack(rows: DataFrame, documents: int, *, capacity: int = CAPACITY, shard: int = SHARD, key: str = "doc_id") -> DataFrame:
@@ -92,26 +95,18 @@ def pack(rows: DataFrame, documents: int, *, capacity: int = CAPACITY, shard: in
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]):
-        held: list[pa.RecordBatch] = []
-
-        def packed() -> Iterator[pa.RecordBatch]:
-            whole = pa.Table.from_batches(held)
-            sequence, offset = place(whole.column("length").to_numpy(), capacity)
-            ids = whole.column("__shard").to_numpy() * (1 << 32) + sequence
-            whole = whole.select(names).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset))
-            yield from whole.to_batches()
-
+        current, placer = None, Placer(capacity)
         for batch in batches:
             shard_of = batch.column(batch.schema.get_field_index("__shard")).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(shard_of)) + 1).tolist(), len(shard_of)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if shard_of[a] != current:
+                    current, placer = shard_of[a], Placer(capacity)
                 part = batch.slice(a, b - a)
-                if held and held[0].column(held[0].schema.get_field_index("__shard"))[0].as_py() != shard_of[a]:
-                    yield from packed()
-                    held.clear()
-                held.append(part)
-        if held:
-            yield from packed()
+                sequence, offset = placer.place(part.column(part.schema.get_field_index("length")).to_numpy())
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(int(current) * (1 << 32) + sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
     return dealt.mapInArrow(run, ", ".join([*fields, "sequence_id long", "offset long"]))

@@ -1,70 +1,129 @@
-"""Token ids of texts by the tokenizers library, for whole Arrow batches.
+"""Token ids of texts by the tokenizers library, for whole Arrow columns.
 
-A byte-level BPE of this kind cuts a text into pieces before it merges bytes, and the start of each run of blanks is such a
-cut. So a text is cut there first, and ids of pieces seen before are looked up; the library encodes the others. A text with
-any further kind of white space goes to the library whole.
+A byte-level BPE of this kind cuts a text into pieces before it merges bytes, and the start of each run of white space is such a
+cut. So texts are cut where a run begins with a blank (space, tab, line feed, carriage return), equal pieces are found by
+Arrow's dictionary encoding of the text's own bytes, and only pieces not seen before go to the library. A blank that follows any
+other kind of white space is inside a run, so there no cut is made.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterable
-from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 
-#: Pieces whose ids a process remembers; when there are more, it starts anew.
-REMEMBERED = 800_000
-#: Texts whose new pieces are encoded together.
-GROUP = 64
-_PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+from .shingles import texts
+
+#: Pieces, and ids of pieces, that a process remembers; when there are more, it starts anew.
+REMEMBERED, REMEMBERED_IDS = 1_000_000, 16_000_000
+#: Pieces that go to the library as one text.
+TOGETHER = 250
+BLANKS = " \t\n\r"
+_BLANK = np.zeros(256, bool)
+_BLANK[[ord(c) for c in BLANKS]] = True
 _encoders: dict[str, Encoder] = {}
 
 
+def _ends_in_other_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character before each place is white space that isn't a blank (all of Unicode's)."""
+    b, c, d = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+    found = (b == 0x0B) | (b == 0x0C) | ((b >= 0x1C) & (b <= 0x1F)) | ((c == 0xC2) & ((b == 0x85) | (b == 0xA0)))
+    found |= (d == 0xE2) & (c == 0x80) & ((b <= 0x8A) | (b == 0xA8) | (b == 0xA9) | (b == 0xAF))
+    return found | ((d == 0xE2) & (c == 0x81) & (b == 0x9F)) | ((d == 0xE1) & (c == 0x9A) & (b == 0x80)) | ((d == 0xE3) & (c == 0x80) & (b == 0x80))
+
+
+def pieces_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where pieces begin in `data`, and its length at last; first piece of each text, and their number at last), for texts that end at `ends`."""
+    blank = _BLANK[data]
+    first = blank.copy()
+    first[1:] &= ~blank[:-1]
+    first[:1] = False
+    at = np.flatnonzero(first)
+    first[at[_ends_in_other_space(data, at)]] = False
+    starts = np.concatenate([[0], ends[:-1]])
+    first[starts[starts < len(data)]] = True
+    begin = np.flatnonzero(first)
+    return np.append(begin, len(data)), np.append(np.searchsorted(begin, starts), len(begin))
+
+
 class Encoder:
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.remembered, self.known = remembered, {}
+        self.remembered = remembered
         vocabulary = self.tokenizer.get_vocab()
         self.size_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id's token: one for each letter
         self.size_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode pieces. Those with a blank in front and none behind go as one text, and are told apart by their bytes."""
-        joined = [p for p in new if p[0] in " \t\n\r" and p[-1] not in " \t\n\r"]
-        ids = np.array(self.tokenizer.encode("".join(joined), add_special_tokens=False).ids, "<u4")
-        ends = np.cumsum([len(p.encode()) for p in joined], dtype=np.int64)
-        reached = np.cumsum(self.size_of[ids])
-        at = np.searchsorted(reached, ends, "right")
-        if len(joined) and not (at[-1] == len(ids) and np.array_equal(reached[at - 1], ends)):
-            joined, at = [], at[:0]  # not a vocabulary of this kind
-        held = ids.tobytes()
-        for p, a, b in zip(joined, [0, *at[:-1].tolist()], at.tolist(), strict=bool(joined)):
-            self.known[p] = held[4 * a : 4 * b]
-        rest = [p for p in new if p not in self.known]
-        self.known.update(zip(rest, self._encode(rest), strict=True))
-
-    def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.begin, self.count, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Remember the ids of pieces, which come one after the other."""
+        n, m = len(self.known), len(pieces)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + m > len(self.begin):
+            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.count[n : n + m] = counts
+        self.begin[n : n + m] = self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
+        self.known.update(zip(pieces, range(n, n + m), strict=True))
+
+    def _learn(self, new: list[str], sizes: np.ndarray) -> None:
+        """Encode pieces of so many bytes. Those with a blank in front and no white space behind go many as one text, and are told apart by their bytes."""
+        free = np.fromiter((p[0] in BLANKS and not p[-1].isspace() for p in new), bool, len(new))
+        joined, rest = [new[i] for i in np.flatnonzero(free)], [new[i] for i in np.flatnonzero(~free)]
+        if joined:
+            made = self.tokenizer.encode_batch_fast(["".join(joined[a : a + TOGETHER]) for a in range(0, len(joined), TOGETHER)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in made])
+            ends, reached = np.cumsum(sizes[free]), np.cumsum(self.size_of[ids])
+            at = np.searchsorted(reached, ends, "right")
+            if at[-1] == len(ids) and np.array_equal(reached[at - 1], ends):
+                self._keep(joined, ids, np.diff(at, prepend=0))
+            else:  # not a vocabulary of this kind
+                rest += joined
+        if rest:
+            made = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            self._keep(rest, np.concatenate(made), np.array([len(x) for x in made]))
+
+    def _places(self, found: pa.StringArray) -> np.ndarray:
+        """Where each of some distinct pieces is remembered."""
+        pieces = found.to_pylist()
+        sizes = np.diff(np.frombuffer(found.buffers()[1], np.int32, len(found) + 1)).astype(np.int64)
+        new = [i for i, p in enumerate(pieces) if p not in self.known]
+        if new and (len(self.known) + len(new) > self.remembered or self.used > REMEMBERED_IDS):
+            self._forget()
+            new = range(len(pieces))
+        if new:
+            self._learn([pieces[i] for i in new], sizes[new])
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+
+    def column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, first id of each text, and their number at last); a null text is empty."""
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        for _, data, ends in texts(column):
+            begin, of = pieces_of(data, ends)
+            each = pa.StringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+            at = self._places(each.dictionary)[each.indices.to_numpy()]
+            n = self.count[at]
+            reached = np.concatenate([[0], np.cumsum(n)])
+            ids.append(self.ids[np.arange(reached[-1]) + np.repeat(self.begin[at] - reached[:-1], n)])
+            counts.append(np.diff(reached[of]))
+        return np.concatenate(ids), np.cumsum(np.concatenate(counts))
+
+    def __call__(self, held: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers; null is empty."""
-        out: list[bytes] = []
-        texts = iter(texts)
-        while group := list(islice(texts, GROUP)):
-            cut = [None if not t or _OTHER_SPACE.search(t) else _PIECE.findall(t) for t in group]
-            seen = set().union(*(c for c in cut if c))
-            if new := [p for p in seen if p not in self.known]:
-                if len(self.known) + len(new) > self.remembered:
-                    self.known, new = {}, list(seen)
-                self._learn(new)
-            out += [b"".join(map(self.known.__getitem__, c)) if c else self._encode([t])[0] if t else b"" for t, c in zip(group, cut, strict=True)]
-        return out
+        ids, at = self.column(pa.array(list(held), pa.large_string()))
+        raw = ids.astype("<u4").tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def encoder(path: str) -> Encoder:

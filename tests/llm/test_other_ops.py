@@ -8,16 +8,17 @@ import numpy as np
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from flowledger.llm import chat, components, idcodec, packing, tokens, urlfilter, warc
 
+TOKENIZER = Tokenizer.from_file(tokens.public_path())
 LONG = " ".join(f"word{i}" for i in range(9000))
 TEXTS = [(1, "Hello world, hello again.\n\n  two  spaces\tand tabs "), (2, None), (3, ""), (4, LONG), (5, "naïve 木😀 <|endoftext|> x"), (5, "again"), (None, "no id"), (7, "a   b\x1c\x0bc"), (8, "x" * 5000), (9, "again")]
 
 
 def ids_of(text):
-    tokenizer = tokens.encoder(tokens.public_path()).tokenizer
-    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+    return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 0]
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +29,7 @@ def docs(spark):
 def test_cached_encoding_equals_the_library():
     encode = tokens.Encoder(tokens.public_path(), remembered=50)
     texts = [t for _, t in TEXTS] + ["".join(random.Random(i).choices("ab \n\t.,'s1é 　", k=300)) for i in range(150)]
+    texts += ["".join(random.Random(i).choices("ab \n\t\r\x0b\x0c\x1c\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000à", k=200)) for i in range(150)] + [None, "", " ", "x" * 1_000_000]
     assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == [ids_of(t)[:-1] for t in texts]
 
 
@@ -52,12 +54,12 @@ def test_packing_covers_all_ids(spark, docs):
 
 def test_sum_of_squares_places_well():
     sizes = np.sort(np.random.default_rng(0).integers(1, 2049, 4000))[::-1]
-    sequence, offset = packing.place(sizes, 2048)
+    sequence, offset = packing.Placer(2048).place(sizes)
     assert sequence.max() + 1 <= 1.02 * sizes.sum() / 2048 + 1
     # each placement is the best by the definition, on a small case
     count = [0] * 33
     small = np.random.default_rng(1).integers(1, 33, 60)
-    s, o = packing.place(small, 32)
+    s, o = packing.Placer(32).place(small)
     for size, at in zip(small.tolist(), o.tolist(), strict=True):
         open_gaps = [g for g in range(size, 33) if count[g]]
 
@@ -127,10 +129,15 @@ def test_role_repair_edges(spark):
 
 
 def test_id_files_round_trip(spark, docs):
-    for block, lanes in ((idcodec.BLOCK, idcodec.LANES), (64, 7)):
-        blocks = idcodec.materialise(idcodec.encoded(docs, tokens.public_path(), block=block, lanes=lanes))
+    ties = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    for block, group in ((idcodec.BLOCK, idcodec.GROUP), (64, 7), (1024, 2)):
+        blocks = idcodec.materialise(idcodec.encoded(docs, tokens.public_path(), block=block, group=group))
         got = idcodec.catalogue(blocks).orderBy("start").collect()
-        order = sorted(TEXTS, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
+        order = sorted(TEXTS, key=lambda x: (x[0] is not None, x[0] or 0, ties[x[1]], x[1] or ""))
+        held = {}
+        for r in sorted(idcodec.decoded(blocks).collect(), key=lambda r: (r.file, r.ordinal, r.part)):
+            held[r.file, r.ordinal] = held.get((r.file, r.ordinal), b"") + bytes(r.ids)
+        assert [np.frombuffer(held[k], "<u4").tolist() for k in sorted(held)] == [ids_of(t) for _, t in order]
         start = 0
         for r, (i, t) in zip(got, order, strict=True):
             raw = np.array(ids_of(t), "<u4")
@@ -147,6 +154,13 @@ def test_codec_on_any_ids_and_damage():
     assert all((a == b).all() for (_, a), b in zip(idcodec.read_blocks(data), blocks, strict=True))
     small = idcodec.write_blocks([(none, blocks[-1])])[0]
     assert len(small) < 200
+    many = [r.integers(0, top, n, dtype=np.uint32) for top, n in ((2**32 - 1, 9000), (1000, 65_536), (5, 70_000), (50_257, 3000))]
+    data_many = idcodec.write_blocks([(none, b) for b in many])
+    assert all((idcodec.read_blocks([d])[0][1] == b).all() for d, b in zip(data_many, many, strict=True))  # each block alone
+    skewed = (r.zipf(1.3, 100_000) % 5000).astype(np.uint32)
+    share = np.bincount(skewed) / len(skewed)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    assert 8 * len(idcodec.write_blocks([(none, skewed)])[0]) < 1.12 * entropy * len(skewed)
     bad = bytearray(data[1])
     bad[60] ^= 1
     with pytest.raises(ValueError):
