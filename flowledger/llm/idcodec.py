@@ -2,7 +2,7 @@
 
 Each id is predicted by three orders. Order 0 gives every id a share by how often the block has had it (ids not had yet share a
 rest). Order 1 and order 2 name the id that last followed the previous id, and the previous two, with a confidence that rises when
-they are right and is halved when not. The predictions are mixed linearly: in each state (both confidences, and whether the two
+they are right and falls when not. The predictions are mixed linearly: in each state (both confidences, and whether the two
 agree) the weights are the shares of hits that the block has seen there. The mixture drives a carry-less 64-bit range coder;
 an id that several orders predict is coded by the part of the highest of them. The model starts anew in every block, so each
 block can be read alone; a checksum covers all of it, and another one its ids.
@@ -10,7 +10,8 @@ block can be read alone; a checksum covers all of it, and another one its ids.
 Python is too slow to do this id by id. A block is cut into up to STREAMS runs, each with a coder of its own, and the runs of up
 to GROUP blocks are coded side by side: each step is a few array operations over all of them. Runs of a block share its
 model: orders 1 and 2 learn after each step (of runs that meet in one place the last one counts), order 0 and the weights after
-1, 4, 16, 64... steps. Memory is bounded by GROUP blocks and their tables. All arithmetic is on integers.
+1, 4, 16, 64... steps. Memory is bounded by GROUP blocks and their tables. Arithmetic is on integers, and on doubles one operation
+at a time, each of which IEEE 754 fixes: quotients are made that way, since dividing 64-bit integers is slow.
 
 Files are rows of (file, block, n_ids, data) in a container that Spark writes to any store; `data` is a whole block, and files
 and blocks are in ascending order of document (rows with the same id: by a hash of the text). A block names the documents whose
@@ -49,9 +50,7 @@ EACH = 3  # how much more than a new id an id of the block counts for order 0, a
 MASS = 9  # the weights sum to 2^MASS
 REFRESH = frozenset(4**i for i in range(16))  # steps before which order 0 and the weights take in what was coded
 WORD, LIMIT = np.uint64(32), np.uint64(1 << 32)  # bits of a word; ranges stay at LIMIT at least
-#: Confidence and whether it was right -> what is added to a row, and whether it starts anew.
-STEP = np.array([0, 0, -1, -2, -2, -3, -3, -4, 1, 1, 1, 1, 1, 1, 1, 0], np.int8).astype(np.uint32)
-ANEW = np.array([1, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0], bool)
+SURE = 7  # the highest confidence; a right guess adds 1, a wrong one takes 2, and one with less than 2 starts anew
 
 
 class Model:
@@ -71,6 +70,7 @@ class Model:
         self.seen = np.repeat(start[:, None, :], n, axis=1).reshape(3, -1)  # times, hits of order 2, hits of order 1 alone
         self.base_of, self.base1, self.base2, self.base_state = (block * k for k in (self.width, 1 << BITS1, 1 << BITS2, 128))
         self.states: list[np.ndarray] = []
+        self.narrow = n <= 128
         self.refresh(np.zeros(0, np.int64))
 
     def refresh(self, keys: np.ndarray) -> None:
@@ -87,13 +87,16 @@ class Model:
         self.total = (self.ids + self.alphabet[self.block]) << MASS
         old = (reached - self.count - np.repeat(ends - total, self.width)) << (32 + EACH) | self.count.astype(np.int64) << EACH
         self.part = np.where(self.count > 0, old, (self.new + np.repeat(total << EACH, self.width)) << 32 | 1)
-        for state, hit2, hit1 in self.states:
-            for k, x in enumerate((state, state[hit2], state[hit1])):
-                self.seen[k] += np.bincount(x, minlength=self.seen.shape[1])
-        self.states = []
+        if self.states:  # state * 4, and 2 for a hit of order 2, 1 for one of order 1 alone
+            times = np.bincount(np.concatenate(self.states), minlength=4 * self.seen.shape[1]).reshape(-1, 4)
+            self.seen += np.stack([times.sum(1), times[:, 2], times[:, 1]])
+            self.states = []
         share = ((1 << MASS) - 16) * self.seen[1:] / (self.seen[0] + 0.5)
-        self.weight2 = np.maximum(share[0].astype(np.int64), 1)
-        self.weights = self.weight2 + np.maximum(share[1].astype(np.int64), 1)
+        weight2 = np.maximum(share[0].astype(np.int64), 1)
+        weights = weight2 + np.maximum(share[1].astype(np.int64), 1)
+        of_state = np.repeat((total << EACH) + self.alphabet, 128)
+        self.of2, self.of_both, self.rest = weight2 * of_state, weights * of_state, (1 << MASS) - weights
+        self.inverse = _below(self.total)
 
     def predict(self, one: np.ndarray, two: np.ndarray) -> None:
         """For the next id of the first lanes, of the previous id and the one before: candidates and weights."""
@@ -101,51 +104,66 @@ class Model:
         mixed = one * np.uint32(0x9E3779B1)
         self.at1 = (mixed >> np.uint32(32 - BITS1)) + self.base1[:n]
         self.at2 = ((mixed ^ (two * np.uint32(0x85EBCA77) + np.uint32(0x27220A95))) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - BITS2)) + self.base2[:n]
-        self.held1, self.held2 = self.one.take(self.at1), self.two.take(self.at2)
+        self.held1, self.held2 = self.one.take(self.at1, mode="wrap"), self.two.take(self.at2, mode="wrap")
         self.guess1, self.guess2 = self.held1 >> np.uint32(3), self.held2 >> np.uint32(3)
         self.sure1, self.sure2 = self.held1 & np.uint32(7), self.held2 & np.uint32(7)
         state = (self.sure2 << np.uint32(4)) | (self.sure1 << np.uint32(1)) | (self.guess1 == self.guess2)
         self.state = self.base_state[:n] + state
-        weights = self.weights.take(self.state)
-        self.left = (1 << MASS) - weights
-        total = self.total[:n] >> MASS
-        self.part2, self.parts = self.weight2.take(self.state) * total, weights * total
+        self.part2, self.parts, self.left = (x.take(self.state, mode="wrap") for x in (self.of2, self.of_both, self.rest))
 
+    # Masks are numbers 0 and 1 below: a product is far faster than a choice.
     def hits(self, value: np.ndarray) -> None:
-        self.hit2, self.right1 = value == self.guess2, value == self.guess1
-        self.hit1 = self.right1 & ~self.hit2
+        self.right2, self.right1 = value == self.guess2, value == self.guess1
+        self.hit2, self.hit1 = self.right2.astype(np.int64), (self.right1 & ~self.right2).astype(np.int64)
 
     def interval(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the part of an id begins, and how long it is, of `total`."""
-        part = self.part.take(self.base_of[: self.lanes] + value)
-        low, long = (part >> 32) * self.left + self.parts, (part & 0xFFFFFFFF) * self.left
-        np.copyto(low, self.part2, where=self.hit1)
-        np.copyto(long, self.parts - self.part2, where=self.hit1)
-        np.copyto(low, 0, where=self.hit2)
-        np.copyto(long, self.part2, where=self.hit2)
+        part = self.part.take(self.base_of[: self.lanes] + value, mode="wrap")
+        none = (1 - self.hit1 - self.hit2) * self.left
+        by1 = self.hit1 * self.parts
+        low = (part >> 32) * none + (self.parts - self.hit2 * self.parts) - by1 + self.hit1 * self.part2
+        long = (part & 0xFFFFFFFF) * none + by1 + (self.hit2 - self.hit1) * self.part2
         return low.view(np.uint64), long.view(np.uint64)
 
     def value_at(self, at: np.ndarray) -> np.ndarray:
         """The id in whose part a number is."""
         n = self.lanes
-        rest = (np.maximum(at - self.parts, 0).view(np.uint64) // self.left.view(np.uint64)).view(np.int64)
+        rest = ((np.maximum(at - self.parts, 0) + 0.5) / self.left).astype(np.int64)  # exact: far fewer bits than a double has
         value = self.order.take((rest >> EACH) + self.before[:n], mode="clip") - self.base_of[:n]
         fresh = rest - self.ids[:n]
-        np.copyto(value, fresh, where=fresh >= 0)
-        np.copyto(value, self.guess1, where=at < self.parts)
-        np.copyto(value, self.guess2, where=at < self.part2)
+        value += (fresh - value) * (fresh >= 0)
+        value += (self.guess1 - value) * (at < self.parts)
+        value += (self.guess2 - value) * (at < self.part2)
         return value
 
     def learn(self, value: np.ndarray) -> None:
-        self.states.append((self.state, self.hit2, self.hit1))
+        self.states.append(((self.state << np.int64(2)) + (self.hit2 << np.int64(1)) + self.hit1).astype(np.uint16 if self.narrow else np.int64))
         fresh = (value << np.uint32(3)) + np.uint32(1)
-        for rows, at, held, right, sure in ((self.one, self.at1, self.held1, self.right1, self.sure1), (self.two, self.at2, self.held2, self.hit2, self.sure2)):
-            which = sure + right * np.uint32(8)
-            held = held + STEP.take(which)
-            np.copyto(held, fresh, where=ANEW.take(which))
+        for rows, at, held, right, sure in ((self.one, self.at1, self.held1, self.right1, self.sure1), (self.two, self.at2, self.held2, self.right2, self.sure2)):
+            unsure = sure < np.uint32(2)
+            held = held + (right & (sure < np.uint32(SURE))).astype(np.uint32) - ((~right & ~unsure).astype(np.uint32) << np.uint32(1))
+            held += (fresh - held) * (~right & unsure).astype(np.uint32)
             rows[at] = held
 
 
+def _below(total: np.ndarray) -> np.ndarray:
+    """Doubles whose product with a number is at most its quotient by `total`, and hardly less."""
+    return (1 - 2.0**-45) / total
+
+
+def _steps(rng: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    return (rng.astype(np.float64) * inverse).astype(np.uint64)
+
+
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a // b of 64-bit numbers, where it has at most 32 bits."""
+    q = (a.astype(np.float64) / b.astype(np.float64)).astype(np.uint64)
+    left = (a - q * b).view(np.int64)
+    q -= left < 0
+    q += left >= b.view(np.int64)
+    return q
+
+
 class Lanes:
     """The runs of a group of blocks, the longest first; runs of one block stay in order."""
 
@@ -197,7 +215,7 @@ def compress(blocks: list[np.ndarray], alphabet: list[int]) -> list[list[np.ndar
     ids = np.zeros((lanes.steps + 2, n), np.uint32)  # two zeros come before the first id
     for i, (b, a, size) in enumerate(zip(lanes.block.tolist(), lanes.start.tolist(), lanes.size.tolist(), strict=True)):
         ids[2 : 2 + size, i] = blocks[b][a : a + size]
-    out = np.zeros((n, lanes.steps * 2 + 4), np.uint32)
+    out = np.zeros((lanes.steps * 2 + 4, n), np.uint32)  # a row for each word: neighbouring runs write near each other
     put = np.zeros(n, np.int64)
     low, wide = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
 
@@ -205,11 +223,11 @@ def compress(blocks: list[np.ndarray], alphabet: list[int]) -> list[list[np.ndar
         lo, rng = low[:k], wide[:k]
         model.hits(value)
         begin, long = model.interval(value)
-        step = rng // model.total[:k].view(np.uint64)
+        step = _steps(rng, model.inverse[:k])
         lo += step * begin
         np.multiply(step, long, out=rng)
         for need, a in _settle(lo, rng):
-            out[need, put[need]] = a >> WORD
+            out[put[need], need] = a >> WORD
             put[need] += 1
         return value
 
@@ -219,13 +237,13 @@ def compress(blocks: list[np.ndarray], alphabet: list[int]) -> list[list[np.ndar
     short = (end >= low) & (end - low < wide)
     end = np.where(short, end, low)
     each = np.arange(n)
-    out[each, put] = end >> WORD
-    out[each, put + 1] = end & (LIMIT - np.uint64(1))
+    out[put, each] = end >> WORD
+    out[put + 1, each] = end & (LIMIT - np.uint64(1))
     put += np.where(short, 1, 2)
     made: list[list[np.ndarray]] = [[np.zeros(0, np.uint32)] * int(k) for k in lanes.streams]
     first = np.cumsum(lanes.streams) - lanes.streams
     for i, (lane, b) in enumerate(zip(lanes.lane.tolist(), lanes.block.tolist(), strict=True)):
-        made[b][lane - int(first[b])] = out[i, : put[i]].copy()
+        made[b][lane - int(first[b])] = out[: put[i], i].copy()
     return made
 
 
@@ -234,28 +252,27 @@ def decompress(coded: list[list[np.ndarray]], sizes: list[int], alphabet: list[i
     lanes = Lanes(sizes)
     n = len(lanes.block)
     runs = [run for block in coded for run in block]
-    words = np.zeros((n, max(map(len, runs), default=0) + 4), np.uint32)
+    words = np.zeros((max(map(len, runs), default=0) + 4, n), np.uint32)
     for i, lane in enumerate(lanes.lane.tolist()):
-        words[i, : len(runs[lane])] = runs[lane]
+        words[: len(runs[lane]), i] = runs[lane]
     now = np.zeros(n, np.uint64)
     for k in range(2):
-        now = (now << WORD) | words[:, k]
+        now = (now << WORD) | words[k]
     take = np.full(n, 2, np.int64)
-    most = words.shape[1] - 1
+    most = len(words) - 1
     low, wide = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
     ids = np.zeros((lanes.steps + 2, n), np.uint32)
 
     def code(model: Model, k: int, value: np.ndarray) -> np.ndarray:
         lo, rng, at = low[:k], wide[:k], now[:k]
-        total = model.total[:k].view(np.uint64)
-        step = rng // total
-        value[:] = model.value_at(np.minimum((at - lo) // step, total - np.uint64(1)).view(np.int64))
+        step = _steps(rng, model.inverse[:k])
+        value[:] = model.value_at(np.minimum(_quotient(at - lo, step).view(np.int64), model.total[:k] - 1))
         model.hits(value)
         begin, long = model.interval(value)
         lo += step * begin
         np.multiply(step, long, out=rng)
         for need, _ in _settle(lo, rng):
-            at[need] = (at[need] << WORD) | words[need, np.minimum(take[need], most)]
+            at[need] = (at[need] << WORD) | words[np.minimum(take[need], most), need]
             take[need] += 1
         return value
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OTHER = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNDO = np.uint64(pow(int(_BASE), -1, 2**64))
 #: Bytes of text that are hashed at a time; a longer text goes alone.
@@ -71,6 +72,14 @@ def word_hashes(data: np.ndarray, ends: np.ndarray, breaks: np.ndarray = SPACE)
     return words, np.concatenate([[0], np.searchsorted(begin, ends)]).astype(np.int64)
 
 
+def byte_hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of strings (not empty) that lie one after the other in `data`, as they are; `which` names one of two functions."""
+    up, down = _power(len(data))
+    running = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_OTHER if which else _BYTE)[data] * up[: len(data)], out=running[1:])
+    return mix((running[begin + size] - running[begin]) * down[begin] + size.astype(np.uint64))
+
+
 def texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row of the first text, bytes, ends) of runs of texts of at most CHUNK bytes in all, or of one text; nulls are empty."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
