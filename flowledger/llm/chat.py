@@ -11,7 +11,8 @@ conversation is cut into segments of SEGMENT turn numbers; each segment's matrix
 conversation are combined, and each segment is then repaired between its known outer states. No task holds a long conversation.
 
 Each turn gives one row: its action, the role it has now, and the text it contributes to the rendered conversation; a merged
-turn continues the one before. A conversation's text is the concatenation of `rendered` by (turn, place).
+turn continues the one before. A conversation's text is the concatenation of `rendered` by (turn, place). A text can't forge a
+marker: in `<|`, also with backslashes between, one more backslash is put in between (taking one out gives the text back).
 
 Nulls: a null or unknown role fits no state and has to be relabelled; a null text is empty; turns with a null conversation
 form one conversation, and null turn numbers come first. Turns with equal numbers go by role and text; repeated rows are turns of
@@ -176,6 +177,7 @@ def repaired(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
 
     def render(batches):
         for g in _groups(batches, "conv_id", "segment"):
+            g = g.assign(text=g["text"].str.replace(r"<(\\*)\|", r"<\\\1|", regex=True))
             before, after, last = int(g["before"].iloc[0]), int(g["after"].iloc[0]), bool(g["last"].iloc[0])
             done = repair(g["code"].tolist(), before, after)
             out, at = [], before

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -18,12 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, a local one that this sets."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and all runs on one machine, a local
+    one that this sets. On a cluster without the setting it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext.getCheckpointDir()
         if held:
             return held.rstrip("/").rpartition("/")[0]
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="flowledger-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -49,6 +53,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, tie: Column, *, share: int = 1000, parts: int = 64) -> DataFrame:
+    """left with the columns of right, which has one row for each key: a left join in which no key's rows go to one task.
+
+    Keys with more than one of `share` rows of left are hot; there are fewer than `share` of them, so their list is
+    broadcast. Their rows are dealt over `parts` by a hash of `tie`, and their row of right is repeated as often. Null keys match
+    nothing and are dealt alike."""
+    hot = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    hot = F.broadcast(hot.where(F.col("__n") > F.greatest(F.lit(left.count() // share), F.lit(1000))).select(F.col(key).alias("__hot")).limit(share))
+    salt = F.pmod(F.xxhash64(tie), F.lit(parts))
+    mine = left.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__part", F.when(F.col("__hot").isNotNull() | F.col(key).isNull(), salt).otherwise(F.lit(0).cast("long")))
+    theirs = right.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__part", F.explode(F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
+    return mine.drop("__hot").join(theirs.drop("__hot"), [key, "__part"], "left").drop("__part")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row, also where body has lambdas that use it."""
     return F.transform(F.array(value), body)[0]

@@ -11,11 +11,14 @@ Items are searched in blocks of at most BLOCK shingles, each broadcast (8 bytes
 benchmark means more passes over the documents and never a larger broadcast.
 
 Words are runs of ASCII letters and digits and of all other characters beyond ASCII, A-Z as a-z. Nulls: null or wordless
-texts and items match nothing; ids may be null. Repeated rows give repeated results. Further columns are ignored.
+texts and items match nothing; ids may be null and are cast to long. Repeated rows give repeated results. Further columns are
+ignored. An item's minima are made function by function, so a very long item takes its own size a few times over.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,7 +45,7 @@ class Index:
         for i, (_, s) in enumerate(items):
             by.setdefault(max(0, int(len(s) - 1).bit_length()), []).append(i)
         for bits, members in sorted(by.items()):
-            least = np.concatenate([(self.items[i][1][None, :] * TIMES[:, None] + PLUS[:, None]).min(1) for i in members])
+            least = np.concatenate([np.array([(self.items[i][1] * t + p).min() for t, p in zip(TIMES, PLUS, strict=True)], np.uint64) for i in members])
             order = np.argsort(least, kind="stable")
             self.classes[bits] = (least[order], np.repeat(members, HASHES)[order])
             self.maybe[(least >> np.uint64(44)).astype(np.int64)] = True
@@ -106,13 +109,16 @@ def leaks(docs: DataFrame, bench: DataFrame, *, k: int = K, percent: int = PERCE
     blocks = max(1, -(-total // block))
     schema = "doc_id long, item_id long, n_item long, n_shared long, containment double"
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = spark.createDataFrame([], schema)
-    for b in range(blocks if total else 0):
+    parts = []
+    for b in range(blocks if total else 0):  # one block at a time is on the driver and on the executors
         part = sets.where(F.pmod(F.xxhash64("shingles"), F.lit(blocks)) == b).select("item_id", "shingles")
         held = spark.sparkContext.broadcast([(r.item_id, bytes(r.shingles)) for r in part.collect()])  # about `block` shingles
-        if held.value:
-            out = out.unionByName(rows.mapInArrow(_search(held, k, percent), schema)) if b else rows.mapInArrow(_search(held, k, percent), schema)
-    return out
+        found = rows.mapInArrow(_search(held, k, percent), schema)
+        if blocks > 1:
+            found = materialise(found)
+            held.destroy()
+        parts.append(found)
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def _search(held, k: int, percent: int):

@@ -3,8 +3,8 @@
 All rolling word k-grams of a text are joined to the k-grams of license templates, which gives pairs of a place in the
 text and a place in a template. Pairs are counted for each offset between the two (a diagonal), diagonals at most SLACK
 apart are merged (a word was added or left out between them), and the merged span is verified: its grams are compared as
-text, and they must cover at least COVER of the template's words. The template list is small and fixed, so it is
-broadcast; only matching places are shuffled.
+text, and they must cover at least COVER of the template's words. Templates are pairs or a table (label, text). Their grams are
+counted, and broadcast up to a bound, so that only matching places are shuffled.
 
 Nulls: a null text is empty: no words, no labels, score 0. Rows that repeat a document and text get the same result each.
 Further columns are ignored.
@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from .common import let, table
 
 K, SLACK, COVER = 3, 2, 0.8
+BROADCAST_GRAMS = 100_000  # grams of templates up to which these are broadcast (about 60 bytes each); beyond, both sides are shuffled
 #: Base phrases and their labels; label and words of each template.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 TEMPLATES = (
@@ -43,19 +44,28 @@ def normal(text):
     return F.trim(F.regexp_replace(plain, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 
 
-def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = K) -> DataFrame:
-    """(template, label, n_template, at, gram, h)"""
-    rows = [(i, label, len(w), j, " ".join(w[j : j + k])) for i, (label, text) in enumerate(templates) for w in [text.split()] for j in range(len(w) - k + 1)]
-    each = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("template", "label", "n_template", "at", "gram"), row, strict=True))) for row in rows))
-    return spark.range(1).select(F.inline(each)).withColumn("h", F.xxhash64("gram"))
+def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
+    """(label, text) of templates that are given as pairs."""
+    return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(label).alias("label"), F.lit(text).alias("text")) for label, text in templates))))
+
+
+def template_grams(templates: DataFrame, k: int = K) -> DataFrame:
+    """(template, label, n_template, at, gram, h) of templates (label, text): whole license texts in a table of any store, or a few lines."""
+    words = F.split(normal(F.col("text")), " ")
+    held = templates.select(F.xxhash64("label", "text").alias("template"), "label", words.alias("w")).where(F.size("w") >= k).distinct()
+    starts = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.array_join(F.slice("w", i + 1, k), " "))
+    return held.select("template", "label", F.size("w").alias("n_template"), F.posexplode(starts).alias("at", "gram")).withColumn("h", F.xxhash64("gram"))
 
 
 def spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates=TEMPLATES, k: int = K, slack: int = SLACK) -> DataFrame:
     """(key, text_hash, template, label, first, last, cover): merged spans, from word `first` to before word `last`."""
-    next_words = " ".join(["[^ ]+"] * k)
-    grams = F.regexp_extract_all(normal(F.col(text)), F.lit(f"(?=({next_words}))[^ ]+ ?"), F.lit(1))
+    next_words = " ".join(["[^ ]++"] * k)  # possessive, and from the start of a word only: linear however long a word is
+    grams = F.regexp_extract_all(normal(F.col(text)), F.lit(f"(?<![^ ])(?=({next_words}))[^ ]++"), F.lit(1))
     rolled = docs.select(F.col(key), F.xxhash64(text).alias("text_hash"), F.posexplode(grams).alias("place", "found")).withColumn("h", F.xxhash64("found"))
-    met = rolled.join(F.broadcast(template_grams(docs.sparkSession, templates, k)), "h").where("found = gram")
+    table = templates if isinstance(templates, DataFrame) else template_table(docs.sparkSession, templates)
+    known = template_grams(table, k)
+    few = known.count() <= BROADCAST_GRAMS
+    met = rolled.join(F.broadcast(known) if few else known, "h").where("found = gram")
     by = [key, "text_hash", "template", "label", "n_template"]
     diagonal = met.groupBy(*by, (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"), F.min("place").alias("first"), (F.max("place") + k).alias("last"))
     near = W.partitionBy(*by).orderBy("diagonal")

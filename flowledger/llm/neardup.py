@@ -15,8 +15,8 @@
 Links need 100 * |intersection| >= percent * |union|. Sets are of 64-bit hashes of the shingles.
 
 Nulls: a null or wordless text has an empty set and is linked with nothing, itself its component. A null document id is a
-document of its own kind with a null component. Rows that repeat a document id count as one document. Empty tables give
-empty results; further columns are ignored.
+document of its own kind with a null component. Rows that repeat a document id count as one document, so what any of them
+is linked with is reachable from all. Empty tables give empty results; further columns are ignored; ids are cast to long.
 """
 
 from __future__ import annotations
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, sketch: i
     filled = made.where("n > 0 AND doc_id IS NOT NULL")
     classes = filled.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"))
     reps = materialise(classes.select("node", "n", "d1", "d2", "sketch"))
-    copies = filled.join(reps.select("n", "d1", "d2", "node"), ["n", "d1", "d2"]).select("doc_id", "node")
+    copies = materialise(filled.join(reps.select("n", "d1", "d2", "node"), ["n", "d1", "d2"]).select("doc_id", "node"))
 
     values = reps.select("node", F.size("sketch").alias("size"), F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -193,7 +193,10 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, sketch: i
     short = lists.where(F.col("members").between(3, SHORT)).groupBy("v").agg(F.array_sort(F.collect_list("node")).alias("all"))
     short = short.select("all", F.posexplode("all").alias("at", "a")).select("a", F.explode(F.slice("all", F.col("at") + 2, SHORT)).alias("b"))
     links = verified(star.unionByName(short).distinct(), reps, docs, k, percent, sketch, breaks)
-    comp = materialise(components(links, "a", "b"))
+    # rows that share an id are one document, whatever their classes
+    one = copies.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a <> top").select("doc_id", "a")
+    same = copies.join(one, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    comp = materialise(components(links.unionByName(same), "a", "b"))
     long = lists.where(F.col("members") > SHORT).select("v", "node")
     more = materialise(rest_of_lists(long, comp, docs, k, percent, breaks))
     # classes whose documents share an id are one document; links between components join those

@@ -6,7 +6,8 @@ cut between good and bad is the quantile of the sample's scores at its share of
 the cut falls on THRESHOLD. Rows with crc32(id as text) % 5 = 0 are held out: their labels are never read.
 
 Signals are computed from the text alone by DataFrame functions. Nulls: a null text is scored as an empty one; labels without
-an id or quality are left out. Without labels of both kinds every score is 0.5. Repeated rows are scored one by one.
+an id or quality are left out. Without labels of both kinds every score is 0.5. Repeated rows are scored one by one. Columns of the
+input that have the name of a signal or result are replaced. Patterns take time in proportion to the text, however long a word is.
 """
 
 from __future__ import annotations
@@ -33,13 +34,13 @@ def signals(docs: DataFrame, text: str = "text") -> DataFrame:
     plain = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     norm = F.trim(F.regexp_replace(plain, r"[\x20\x09-\x0D]+", " "))
     marks = {"symbols": "#*$%&<>", "exclaims": "!", "bars": "|", "digits": "0123456789", "capitals": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
-    df = docs.select(*rest, norm.alias("__norm"), F.split(F.trim(plain), r"[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*").alias("__lines"), *(count_chars(plain, c).alias(f"__{n}") for n, c in marks.items()))
+    df = docs.select(*rest, norm.alias("__norm"), F.split(F.trim(F.regexp_replace(plain, r"[\x20\x09\x0B-\x0D]+", " ")), r" ?\n[ \n]*+").alias("__lines"), *(count_chars(plain, c).alias(f"__{n}") for n, c in marks.items()))
     spaces = F.length("__norm") - F.length(F.replace("__norm", F.lit(" "), F.lit("")))
     df = df.select(
         *rest, *(f"__{n}" for n in marks), F.when(F.col("__norm") == "", 0).otherwise(spaces + 1).alias("__n"), (F.length("__norm") - spaces).alias("__chars"),
         (1 - F.size(F.array_distinct("__lines")) / F.size("__lines")).alias("__lines"), F.split("__norm", " ").alias("__words"),
-        F.regexp_extract_all("__norm", F.lit("(?=([^ ]+ [^ ]+ [^ ]+))[^ ]+ ?"), F.lit(1)).alias("__grams"),
-        F.size(F.regexp_extract_all("__norm", F.lit(r"(?<![^ ])([^ ]+) (?=\1(?![^ ]))"), F.lit(1))).alias("__adjacent"),
+        F.regexp_extract_all("__norm", F.lit("(?<![^ ])(?=([^ ]++ [^ ]++ [^ ]++))[^ ]++"), F.lit(1)).alias("__grams"),
+        F.size(F.regexp_extract_all("__norm", F.lit(r"(?<![^ ])([^ ]++) (?=\1(?![^ ]))"), F.lit(1))).alias("__adjacent"),
     )
     share = lambda num, den, half: F.coalesce(F.try_divide(num, den), F.lit(0.0)) / (F.coalesce(F.try_divide(num, den), F.lit(0.0)) + half)
     distinct = lambda c: F.size(c) - F.size(F.array_distinct(c))
@@ -83,8 +84,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with score and predicted in place of the text."""
-    rest = [c for c in docs.columns if c != text and c not in SIGNALS]
-    made = signals(docs, text)
+    rest = [c for c in docs.columns if c != text and c not in (*SIGNALS, "score", "predicted")]
+    made = signals(docs.select(*(f"`{c}`" for c in rest), f"`{text}`"), text)
     if model is None:
         value = F.lit(0.5)
     else:

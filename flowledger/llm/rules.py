@@ -9,7 +9,8 @@ A stratum with too few labels gets no cutoff and loses nothing.
 
 Nulls: a null text has no words and fails the base rules; a null stratum is a stratum of its own; labels without a
 quality or a document are left out; of several labels of a document the highest quality counts. Repeated rows are
-judged one by one. Further columns of the input pass through unless they have the name of a result.
+judged one by one, and `with_features` and `judge` pass on further columns unless they have the name of a result;
+`quality_rules` gives the key, the stratum and results only. Texts of any length are counted whole.
 """
 
 from __future__ import annotations

@@ -2,7 +2,7 @@
 
 A revisit record says that the server answered 304 to a conditional request. It stands for the latest earlier full response
 with the same canonical URL (as-of join; at equal times the smaller record id came first), if the validators agree: the
-strong entity tag where the revisit has one, else the modification date. The resolved record has the earlier payload, and its
+entity tag (compared weakly, without `W/`) where the revisit has one, else the modification date. The resolved record has the earlier payload, and its
 headers where the revisit doesn't replace them; a 304 may replace only PERMITTED ones.
 
 The as-of join runs over narrow rows (no payload), in two steps so that one URL with a third of all records is not one task:
@@ -10,7 +10,8 @@ time is cut at quantiles into slices; the latest response of each URL and slice
 and then looked for inside each slice. The payload is joined afterwards by record id, one row for each resolved record.
 
 Nulls: a record without a URL or time, or a revisit without any validator, resolves to nothing (`unresolved`). Records that
-repeat an id are resolved one by one and their payload is any one of that id. Empty tables give empty results.
+repeat an id are resolved one by one, and of several responses of one id the smallest payload counts. Empty tables give empty
+results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise, table
+from .common import materialise, spread_join, table
 
 #: Header fields that a 304 response may update (RFC 9111, section 3.2, and RFC 9110, section 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -79,8 +80,9 @@ def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
 
 def with_payload(resolved: DataFrame, records: DataFrame, payload: str = "payload") -> DataFrame:
     """resolved with the payload of its source record."""
-    held = records.where("kind = 'response'").select(F.col("record_id").alias("source_id"), payload).dropDuplicates(["source_id"])
-    return resolved.join(held, "source_id", "left")
+    held = records.where("kind = 'response'").groupBy(F.col("record_id").alias("source_id")).agg(F.min(payload).alias(payload))
+    rest = [c for c in resolved.columns if c != payload]
+    return spread_join(materialise(resolved.select(*rest)), held, "source_id", F.col("record_id"))
 
 
 def encode_record(kind: str, fields: dict[str, str], block: bytes) -> bytes:
@@ -107,27 +109,31 @@ def decode_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """The records that op8 resolves: each page is fetched at time page_id. Of pages with a canonical URL, those whose id leaves 2 or 4
-    when divided by 5 were answered 304; their validators are an entity tag (2) or a date (4) of the content's version, which changes for
-    ids in steps of 20000, and a response has both."""
-    version = F.floor(F.col("page_id") / 20_000)
-    tag = F.concat(F.lit('"'), F.substring(F.md5(F.concat_ws("|", canonical(F.col("url")), version.cast("string"))), 1, 12), F.lit('"'))
-    date = F.concat(F.lit("day "), version.cast("string"))
-    part = F.pmod(F.col("page_id"), F.lit(5))
-    seen = F.concat(F.lit("fetch "), F.col("page_id").cast("string"))
-    headers = (
-        F.when(part == 2, F.create_map(F.lit("etag"), tag, F.lit("date"), seen, F.lit("content-type"), F.lit("text/plain")))
-        .when(part == 4, F.create_map(F.lit("last-modified"), date, F.lit("date"), seen))
-        .otherwise(F.create_map(F.lit("etag"), tag, F.lit("last-modified"), date, F.lit("date"), seen, F.lit("content-type"), F.lit("text/html")))
-    )
-    return pages.select(F.col("page_id").alias("record_id"), "url", F.col("page_id").alias("at"), F.when(part.isin(2, 4), "revisit").otherwise("response").alias("kind"), headers.alias("headers"), F.col("html").alias("payload"))
+    """The records that op8 resolves: four fetches of each page, with record_id 4 * page_id + fetch, at the time 10^9 * fetch + page_id.
+
+    Fetch 0 is a full response, but not where 7 divides page_id; fetch 1 a 304 with an entity tag; fetch 2 a new version where 3 divides
+    page_id, else a 304 with a date; fetch 3 a 304 with the tag of the current version, or of an unknown one where 5 divides page_id.
+    Validators follow from the canonical URL and the version."""
+    n, page = F.col("fetch"), F.col("page_id")
+    by = lambda k: F.pmod(page, F.lit(k)) == 0
+    rows = pages.select("page_id", "url", "html", F.explode(F.array(*(F.lit(i).cast("long") for i in range(4)))).alias("fetch"))
+    response = ((n == 0) & ~by(7)) | ((n == 2) & by(3))
+    version = F.when((n == 2) & by(3), "v1").when((n == 3) & by(5), "v9").when((n == 3) & by(3), "v1").otherwise("v0")
+    rows = rows.withColumn("kind", F.when(response, "response").otherwise("revisit")).withColumn("version", version)
+    tag = F.concat(F.lit('"'), F.substring(F.md5(F.concat_ws("|", canonical(F.col("url")), "version")), 1, 12), F.lit('"'))
+    date, seen = F.concat(F.lit("day "), "version"), F.concat(F.lit("fetch "), n.cast("string"), F.lit(" of "), page.cast("string"))
+    both = F.create_map(F.lit("etag"), tag, F.lit("last-modified"), date, F.lit("date"), seen, F.lit("content-type"), F.lit("text/html"))
+    headers = F.when(F.col("kind") == "response", both).when(n == 2, F.create_map(F.lit("last-modified"), date, F.lit("date"), seen))
+    headers = headers.otherwise(F.create_map(F.lit("etag"), tag, F.lit("date"), seen, F.lit("content-type"), F.lit("text/plain")))
+    payload = F.when(F.col("kind") == "response", F.concat("html", F.lit(" "), "version"))
+    return rows.select((page * 4 + n).alias("record_id"), "url", (n * 1_000_000_000 + page).alias("at"), "kind", headers.alias("headers"), payload.alias("payload"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     records = page_records(table(spark, sf_dir, "pages"))
     digests = records.select("record_id", "kind", F.md5("payload").alias("payload_md5"))
-    out = with_payload(resolve(records), digests, "payload_md5")
-    return out.select(F.col("record_id").alias("page_id"), "canonical_url", "kind", F.col("source_id").alias("source_page_id"), "state", F.col("headers")["date"].alias("date"), F.col("headers")["content-type"].alias("content_type"), "payload_md5")
+    out = with_payload(resolve(records.drop("payload")), digests, "payload_md5")
+    return out.select("record_id", "canonical_url", "kind", "source_id", "state", F.col("headers")["date"].alias("date"), F.col("headers")["content-type"].alias("content_type"), "payload_md5")
 
 
 ORACLE_SQL = f"""
@@ -136,14 +142,17 @@ b AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(p, '(?s)^.*?:
   regexp_replace(regexp_extract(p, '(?s)^.*?://[^/?]*([^?]*)', 1), '/+$', '') AS path,
   regexp_replace(regexp_replace('&' || regexp_extract(p, '(?s)\\?(.*)$', 1), '&(?:{TRACKING})=[^&]*', '', 'g'), '^&', '') AS q FROM a),
 c AS (SELECT page_id, html, CASE WHEN contains(p, '://') THEN host || path || CASE WHEN q = '' THEN '' ELSE '?' || q END END AS canonical_url FROM b),
-d AS (SELECT *, CASE WHEN page_id % 5 IN (2, 4) THEN 'revisit' ELSE 'response' END AS kind, (page_id // 20000)::VARCHAR AS version FROM c),
-r AS (SELECT *, '"' || substr(md5(concat_ws('|', canonical_url, version)), 1, 12) || '"' AS tag FROM d),
-m AS (SELECT v.*, f.page_id AS source, f.tag AS ftag, f.version AS fversion, f.html AS fhtml FROM r v ASOF LEFT JOIN (SELECT * FROM r WHERE kind = 'response') f ON v.canonical_url = f.canonical_url AND v.page_id > f.page_id),
+d AS (SELECT *, unnest([0, 1, 2, 3]) AS k FROM c),
+e AS (SELECT 4 * page_id + k AS record_id, page_id, k, canonical_url, html, 1000000000 * k::BIGINT + page_id AS at,
+  CASE WHEN (k = 0 AND page_id % 7 <> 0) OR (k = 2 AND page_id % 3 = 0) THEN 'response' ELSE 'revisit' END AS kind,
+  CASE WHEN k = 2 AND page_id % 3 = 0 THEN 'v1' WHEN k = 3 AND page_id % 5 = 0 THEN 'v9' WHEN k = 3 AND page_id % 3 = 0 THEN 'v1' ELSE 'v0' END AS version FROM d),
+r AS (SELECT *, '"' || substr(md5(concat_ws('|', canonical_url, version)), 1, 12) || '"' AS tag FROM e),
+m AS (SELECT v.*, f.record_id AS source, f.tag AS ftag, f.version AS fversion, f.html AS fhtml FROM r v ASOF LEFT JOIN (SELECT * FROM r WHERE kind = 'response') f ON v.canonical_url = f.canonical_url AND v.at > f.at),
 s AS (SELECT *, CASE WHEN kind = 'response' THEN 'response' WHEN source IS NULL THEN 'unresolved'
-  WHEN CASE WHEN page_id % 5 = 2 THEN tag = ftag ELSE version = fversion END THEN 'resolved' ELSE 'mismatch' END AS state FROM m)
-SELECT page_id, canonical_url, kind, CASE state WHEN 'response' THEN page_id WHEN 'resolved' THEN source END AS source_page_id, state, 'fetch ' || page_id AS date,
-  CASE WHEN state IN ('response', 'resolved') THEN 'text/html' WHEN page_id % 5 = 2 THEN 'text/plain' END AS content_type,
-  CASE state WHEN 'response' THEN md5(html) WHEN 'resolved' THEN md5(fhtml) END AS payload_md5 FROM s"""
+  WHEN CASE WHEN k = 2 THEN version = fversion ELSE tag = ftag END THEN 'resolved' ELSE 'mismatch' END AS state FROM m)
+SELECT record_id, canonical_url, kind, CASE state WHEN 'response' THEN record_id WHEN 'resolved' THEN source END AS source_id, state, 'fetch ' || k || ' of ' || page_id AS date,
+  CASE WHEN state IN ('response', 'resolved') THEN 'text/html' WHEN k <> 2 THEN 'text/plain' END AS content_type,
+  CASE state WHEN 'response' THEN md5(html || ' ' || version) WHEN 'resolved' THEN md5(fhtml || ' ' || fversion) END AS payload_md5 FROM s"""
 
 QUERIES = {"op8_revisits": op8}
 ORACLE = {"op8_revisits": ORACLE_SQL}
