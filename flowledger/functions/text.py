@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .canon import sha
+from .canon import canonical_json, sha
 
 # Wordings and patterns that results contain or follow.
 TITLE = "## {}\n\n"
@@ -14,6 +14,7 @@ CUT = "（已截断）"
 SLOT = r"\{\{([a-z_][a-z0-9_]*)\}\}"
 SENTENCE_END = "[。！？.!?]"
 BEARER = r"(?i)\b(?:bearer|basic)\s+[A-Za-z0-9._~+/=-]+"
+REPAIR_ECHO = "你上一轮的输出如下："
 REPAIR_PREAMBLE, REPAIR_ROUND, REPAIR_STUCK = "上次输出未通过校验。下面是错误：", "这是第 {} 轮修复。", "检测到输出与上次完全相同；请逐项修正错误，不得原样重交。"
 
 
@@ -45,7 +46,18 @@ def slots_match(text: Column, supplied: Column) -> Column:
 
 
 def render_template(text: Column, slots: Column) -> Column:
-    """The template with its slots filled from a map, in one pass: filled text is not searched again."""
+    """The template with its slots filled from a map, in one pass: filled text is not searched again.
+
+    The map has to have exactly the template's slots, none null; anything else is an error that names them."""
+    wrong = slots_match(text, F.map_keys(slots))
+    nulls = F.array_sort(F.map_keys(F.map_filter(slots, lambda _, v: v.isNull())))
+    said = F.concat(F.lit("slots missing: "), F.array_join(F.array_union(wrong["missing"], nulls), ", "), F.lit("; not in the template: "), F.array_join(wrong["extra"], ", "))
+    filled = _filled(text, slots)
+    bad = (F.size(wrong["missing"]) + F.size(wrong["extra"]) + F.size(nulls)) > 0
+    return F.when(text.isNull() | slots.isNull(), F.lit(None).cast("string")).when(bad, F.raise_error(said)).otherwise(filled)
+
+
+def _filled(text: Column, slots: Column) -> Column:
     between = F.split(text, SLOT, -1)
     names = F.regexp_extract_all(text, F.lit(SLOT), F.lit(1))
     return F.array_join(F.transform(between, lambda x, i: F.concat(x, F.when(i < F.size(names), F.element_at(slots, F.get(names, i))).otherwise(""))), "")
@@ -67,6 +79,29 @@ def render_bullets(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), F.replace(x, F.lit("\n"), F.lit("\n  ")))), "\n")
 
 
+def render_items(items: Column, kind, form: str = "json") -> Column:
+    """A list as canonical JSON (kind is the list's type) or as bullets."""
+    if form not in ("json", "bullets"):
+        raise ValueError("form is json or bullets")
+    return canonical_json(items, kind) if form == "json" else render_bullets(items)
+
+
+def inject_object(value: Column, kind, *, title: str | None = None) -> Column:
+    """Any value as canonical JSON in a fenced block that is tagged json."""
+    return inject(canonical_json(value, kind), lang="json", title=title)
+
+
+def escape_html(text: Column) -> Column:
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return text
+
+
+def escape_cell(text: Column) -> Column:
+    """A cell of a Markdown table."""
+    return F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>"))
+
+
 def strip_json_fence(raw: Column) -> Column:
     """Without a surrounding three-backtick fence (plain or tagged json), else as it is."""
     lines = F.split(F.regexp_replace(raw, r"^\s+|\s+$", ""), "\\n", -1)

@@ -18,17 +18,21 @@ class RetryPolicy:
     max_attempts: int = 3
     initial_delay: float = 1.0
     multiplier: float = 2.0
-    max_delay: float = 60.0
+    max_delay: float = 120.0
+    jitter: str = "full"
     retry_on: tuple[str, ...] = ("connection", "rate_limit", "server_error", "timeout")
 
     def __post_init__(self) -> None:
+        if self.jitter not in ("full", "none"):
+            raise ValueError("jitter is full or none")
         if self.max_attempts < 1 or self.initial_delay < 0 or self.multiplier < 1 or self.max_delay < self.initial_delay:
             raise ValueError("a retry policy needs an attempt, delays from 0 up, and a multiplier from 1 up")
 
     def delay(self, run_id: Column, target: Column, attempt: Column, digest: Column, asked_ms: Column) -> Column:
         """Seconds until the next attempt: full jitter below a growing cap, or what the provider asks for if that is more."""
         cap = F.least(F.lit(self.max_delay), self.initial_delay * F.pow(F.lit(self.multiplier), attempt - 1))
-        return F.greatest(cap * jitter_fraction(run_id, target, attempt, digest), F.greatest(F.lit(0.0), F.coalesce(asked_ms, F.lit(0)) / 1000))
+        drawn = cap * jitter_fraction(run_id, target, attempt, digest) if self.jitter == "full" else cap
+        return F.greatest(drawn, F.greatest(F.lit(0.0), F.coalesce(asked_ms, F.lit(0)) / 1000))
 
     def next_status(self, failed: Column, kind: Column, side_effect: Column, attempt: Column) -> Column:
         again = (attempt < self.max_attempts) & F.coalesce(kind.isin(*self.retry_on), F.lit(False))

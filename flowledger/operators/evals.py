@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.canon import sha
+
 
 def gated(gate: Column, quality: Column, gate_tags: Column, quality_tags: Column) -> Column:
     """The gate's judgment where it isn't passed in full, else the quality score with both sets of tags."""
@@ -40,8 +48,106 @@ def pareto(scores: DataFrame, key: str, metrics: list[str], shorter: str) -> Dat
     return scores.join(front, metrics).where(F.col(shorter) == F.col("__short")).select(key, *metrics)
 
 
-def leak_windows(texts: DataFrame, samples: DataFrame, run: int) -> DataFrame:
-    """(id, sample_id): texts that have any `run` characters in a row from a sample. Both sides are (id, text).
+def evaluate(examples: DataFrame, task: Callable[[dict], object], metric: Callable[[dict, object], tuple], key: str) -> DataFrame:
+    """(key, score, feedback, tags) of each example (a row as a dict). task makes an output, metric(example, output) gives (score, feedback,
+    tags). An exception of either is a score of 0 with its text as feedback and the tag task_error or metric_error, and never
+    ends the batch; so is a score outside 0 to 1."""
+    kind = examples.schema[key].dataType.simpleString()
+
+    def judged(example: dict) -> tuple[float, str, list[str]]:
+        try:
+            output = task(example)
+        except Exception as e:  # noqa: BLE001 - becomes the example's result
+            return 0.0, f"{type(e).__name__}: {e}", ["task_error"]
+        try:
+            score, feedback, tags = metric(example, output)
+            return in_range(float(score)), str(feedback), [str(t) for t in tags]
+        except Exception as e:  # noqa: BLE001
+            return 0.0, f"{type(e).__name__}: {e}", ["metric_error"]
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            done = [judged(r) for r in rows]
+            cols = [batch.column(batch.schema.get_field_index(key)), pa.array([d[0] for d in done], pa.float64()), pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "score", "feedback", "tags"])
+
+    return examples.mapInArrow(run, f"key {kind}, score double, feedback string, tags array<string>").withColumnRenamed("key", key)
+
+
+def in_range(score: float) -> float:
+    if not 0.0 <= score <= 1.0:
+        raise ValueError(f"a score is from 0 to 1, not {score}")
+    return score
+
+
+def checked_score(score: Column) -> Column:
+    """The score; outside 0 to 1 (or null) the query fails."""
+    return F.when(score.between(0, 1), score).otherwise(F.raise_error(F.concat(F.lit("a score is from 0 to 1, not "), F.coalesce(score.cast("string"), F.lit("null")))).cast("double"))
+
+
+@dataclass(frozen=True)
+class Variant:
+    """A subject of a bench: score(examples with seed) gives a row (example_id, seed, score, error) for each. identity says what it is."""
+
+    name: str
+    identity: dict
+    score: Callable[[DataFrame], DataFrame]
+    hypothesis: str = ""
+    incumbent: bool = False
+
+
+def function_subject(task: Callable[[dict], object], metric: Callable[[dict, object], tuple]) -> Callable[[DataFrame], DataFrame]:
+    """A subject that is a Python function of an example (which has its seed)."""
+
+    def score(trials: DataFrame) -> DataFrame:
+        keyed = trials.withColumn("__trial", F.struct("example_id", "seed"))
+        got = evaluate(keyed.withColumn("__key", F.concat_ws("@", F.col("example_id"), F.col("seed").cast("string"))).drop("__trial"), task, metric, "__key")
+        at = F.split("__key", "@(?=[0-9-]+$)", 2)
+        failed = F.arrays_overlap("tags", F.array(F.lit("task_error"), F.lit("metric_error")))
+        return got.select(at[0].alias("example_id"), at[1].cast("int").alias("seed"), "score", F.when(failed, F.col("feedback")).alias("error"))
+
+    return score
+
+
+def bench(variants: list[Variant], examples: DataFrame, *, seeds: list[int], key: str, threshold: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(trials, report) of every variant, seed and example. It never chooses a winner.
+
+    Exactly one variant is the incumbent, the others state a hypothesis, and names, seeds and example contents don't repeat. A trial's id is
+    a digest of variant, identity, example and seed."""
+    names = [v.name for v in variants]
+    if len(set(names)) != len(names) or sum(v.incumbent for v in variants) != 1:
+        raise ValueError("variants need different names and exactly one incumbent")
+    if any(not v.incumbent and not v.hypothesis.strip() for v in variants):
+        raise ValueError("every challenger states its hypothesis")
+    if not seeds or len(set(seeds)) != len(seeds):
+        raise ValueError("seeds must not be empty or repeat")
+    content = sha(F.to_json(F.struct(*sorted(c for c in examples.columns if c != key)), {"ignoreNullFields": "false"}))
+    named = examples.withColumn("example_id", content)
+    if not named.groupBy("example_id").count().where("count > 1").isEmpty():
+        raise ValueError("examples must not repeat a content")
+    tried = named.withColumn("seed", F.explode(F.lit(list(seeds))))
+    parts = []
+    for i, v in enumerate(variants):
+        identity = F.lit(json.dumps(v.identity, sort_keys=True, ensure_ascii=False))
+        parts.append(v.score(tried).select(F.lit(i).alias("place"), F.lit(v.name).alias("variant"), "example_id", "seed", "score", "error", sha(F.concat_ws("\x1f", F.lit(v.name), identity, "example_id", F.col("seed").cast("string"))).alias("trial_id")))
+    trials = reduce(DataFrame.unionByName, parts)
+    figures = [F.count(F.lit(1)).alias("trials"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("stdev"), F.min("score").alias("least"), F.max("score").alias("most"), F.count_if(F.col("error").isNotNull()).alias("errors")]
+    if threshold is not None:
+        figures.append(F.avg((F.col("score") >= threshold).cast("double")).alias("pass_rate"))
+    return trials, trials.groupBy("place", "variant").agg(*figures)
+
+
+def winner(candidates: DataFrame) -> DataFrame:
+    """The best of candidates (text, place, train_mean, val_mean): by mean on validation, then the shorter, then the earlier; with its
+    generalisation gap."""
+    best = F.min_by(F.struct("text", "place", "train_mean", "val_mean"), F.struct((-F.col("val_mean")).alias("a"), F.length("text").alias("b"), F.col("place").alias("c")))
+    return candidates.agg(best.alias("w")).select("w.*", (F.col("w.train_mean") - F.col("w.val_mean")).alias("generalization_gap"))
+
+
+def leak_windows(texts: DataFrame, samples: DataFrame, run: int, seed: str | None = None) -> DataFrame:
+    """(id, sample_id): texts that have any `run` characters in a row from a sample, not counting runs that stand in `seed` too (the text
+    that a candidate was made from). Both sides are (id, text).
 
     Such a run holds one whole piece of run // 2 characters at a multiple of that length in the text. Those pieces are looked up
     among all pieces of the samples, and a hit is extended to both sides. The samples are split into blocks of about
@@ -60,17 +166,18 @@ def leak_windows(texts: DataFrame, samples: DataFrame, run: int) -> DataFrame:
 
         def leaks(t, held):
             known, at = held
+            allowed = {seed[i : i + run] for i in range(len(seed) - run + 1)} if seed else frozenset()
             found = set()
             for q in range(0, len(t) - piece + 1, piece):
                 for n, o in at.get(t[q : q + piece], ()):
                     if n in found:
                         continue
                     s, left, right = known[n][1], 0, piece
-                    while left < run - piece and q > left and o > left and t[q - left - 1] == s[o - left - 1]:
+                    while (allowed or left < run - piece) and q > left and o > left and t[q - left - 1] == s[o - left - 1]:
                         left += 1
-                    while left + right < run and q + right < len(t) and o + right < len(s) and t[q + right] == s[o + right]:
+                    while (allowed or left + right < run) and q + right < len(t) and o + right < len(s) and t[q + right] == s[o + right]:
                         right += 1
-                    if left + right >= run:
+                    if any(t[w : w + run] not in allowed for w in range(q - left, q + right - run + 1)):
                         found.add(n)
             return {known[n][0] for n in found}
 

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MOST_EDGES = 100_000
 _NAME = re.compile(r"[^\W@/\\][^@/\\]*")
 
 
@@ -22,6 +23,9 @@ class Step:
     consumes: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
     items_from: str | None = None
     cache: str = "auto"
+    item: str = "id"
+    version: str = ""
+    approve: bool = False
 
 
 @dataclass(frozen=True)
@@ -30,6 +34,12 @@ class RunResult:
     order: tuple[str, ...]
     skipped: tuple[str, ...] = ()
     status: str = "completed"
+    cache_hits: dict[str, bool] = field(default_factory=dict)
+    map_items: dict[str, tuple[int, int]] = field(default_factory=dict)  # items and hits of each map
+    pending: tuple[str, ...] = ()
+    failed: dict[str, str] = field(default_factory=dict)
+    run_id: str = ""
+    identity: str = ""
 
 
 class Template:
@@ -38,6 +48,12 @@ class Template:
     def __init__(self, inputs: Iterable[str], outputs: Iterable[str]) -> None:
         self.inputs, self.outputs, self.steps, self.frozen = tuple(inputs), tuple(outputs), [], False
 
+    def map(self, name: str, *, items_from: str, deps: Iterable[str] = (), **options):
+        return self.node(name, (items_from, *deps), kind="map", items_from=items_from, **options)
+
+    def scan(self, name: str, *, items_from: str, deps: Iterable[str] = (), **options):
+        return self.node(name, (items_from, *deps), kind="scan", items_from=items_from, **options)
+
     def node(self, name: str, deps: Iterable[str] = (), **options):
         if self.frozen:
             raise ValueError("a mounted template takes no more steps")
@@ -55,7 +71,8 @@ class Pipeline:
     def __init__(self) -> None:
         self.steps: dict[str, Step] = {}
 
-    def node(self, name: str, deps: Iterable[str] = (), *, consumes: Mapping[str, Iterable[str]] | None = None, kind: str = "node", items_from: str | None = None, cache: str = "auto"):
+    def node(self, name: str, deps: Iterable[str] = (), *, consumes: Mapping[str, Iterable[str]] | None = None, kind: str = "node", items_from: str | None = None, cache: str = "auto", item: str = "id", version: str = "", approve: bool = False):
+        """item names the id column of a map's items; version is part of every key; approve holds back what needs the step until it is approved."""
         deps = tuple(dict.fromkeys(deps))
         view = {d: tuple(c) for d, c in (consumes or {}).items()}
         if name in self.steps or not _NAME.fullmatch(name):
@@ -66,7 +83,7 @@ class Pipeline:
             raise ValueError(f"consumes names steps that aren't dependencies: {sorted(extra)}")
 
         def register(fn):
-            self.steps[name] = Step(name, fn, deps, kind, view, items_from, cache)
+            self.steps[name] = Step(name, fn, deps, kind, view, items_from, cache, item, version, approve)
             return fn
 
         return register
@@ -94,7 +111,12 @@ class Pipeline:
         template.frozen = True
         named = {n: f"{namespace}.{n}" for n, *_ in template.steps} | dict(inputs)
         for name, fn, deps, options in template.steps:
-            self.node(named[name], [named[d] for d in deps], **options)(lambda got, fn=fn, deps=deps: fn({d: got[named[d]] for d in deps}))
+            held = dict(options)
+            if held.get("items_from"):
+                held["items_from"] = named[held["items_from"]]
+            if held.get("consumes"):
+                held["consumes"] = {named[d]: c for d, c in held["consumes"].items()}
+            self.node(named[name], [named[d] for d in deps], **held)(lambda got, fn=fn, deps=deps: fn({d: got[named[d]] for d in deps}))
         return {o: named[o] for o in template.outputs}
 
     def order(self, targets: Iterable[str] | None = None) -> list[str]:
@@ -155,20 +177,62 @@ class Pipeline:
         return spark.createDataFrame(rows, "src string, dst string, role string")
 
 
+def _below(edges: DataFrame) -> dict[str, list[str]]:
+    """What follows each step directly."""
+    held = edges.select("src", "dst").distinct().limit(MOST_EDGES + 1).collect()
+    if len(held) > MOST_EDGES:
+        raise ValueError(f"a graph of steps has at most {MOST_EDGES} edges")
+    out: dict[str, list[str]] = {}
+    for r in held:
+        out.setdefault(r.src, []).append(r.dst)
+    return out
+
+
 def closure(spark: SparkSession, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, name): everything downstream of each root, itself not included, by a recursive query."""
-    edges.createOrReplaceTempView("__edges")
-    roots.createOrReplaceTempView("__roots")
-    return spark.sql("""WITH RECURSIVE r(root, name) AS (SELECT name, name FROM __roots UNION ALL SELECT r.root, e.dst FROM r JOIN __edges e ON e.src = r.name)
-SELECT DISTINCT root, name FROM r WHERE root <> name""")
+    """(root, name): everything downstream of each root, itself not included. A graph of declared steps is small: at most MOST_EDGES edges."""
+    below = _below(edges)
+    rows = []
+    for root in sorted(r.name for r in roots.select("name").distinct().collect()):
+        seen, todo = {root}, [root]
+        while todo:
+            for name in below.get(todo.pop(), ()):
+                if name not in seen:
+                    seen.add(name)
+                    todo.append(name)
+        rows += [(root, name) for name in sorted(seen - {root})]
+    return spark.createDataFrame(rows, "root string, name string")
 
 
 def waves(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(name, wave): the length of the longest path that leads to each node."""
-    nodes.createOrReplaceTempView("__nodes")
-    edges.createOrReplaceTempView("__edges")
-    return spark.sql("""WITH RECURSIVE r(name, depth) AS (SELECT name, 0 FROM __nodes UNION ALL SELECT e.dst, r.depth + 1 FROM r JOIN __edges e ON e.src = r.name)
-SELECT name, max(depth) AS wave FROM r GROUP BY name""")
+    """(name, wave): the length of the longest path that leads to each node, each edge looked at once."""
+    below = _below(edges)
+    wave = {r.name: 0 for r in nodes.select("name").collect()}
+    waiting = {name: 0 for name in wave}
+    for names in below.values():
+        for name in names:
+            waiting[name] += 1
+    ready = [name for name, n in waiting.items() if not n]
+    done = 0
+    while ready:
+        name, done = ready.pop(), done + 1
+        for after in below.get(name, ()):
+            wave[after] = max(wave[after], wave[name] + 1)
+            waiting[after] -= 1
+            if not waiting[after]:
+                ready.append(after)
+    if done < len(wave):
+        raise ValueError("the steps have a cycle")
+    return spark.createDataFrame(sorted(wave.items()), "name string, wave int")
+
+
+def skips(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, state) of steps (name, state): everything below a pending or skipped step is skipped; a waiting step that has only
+    successful dependencies is ready."""
+    bad = closure(spark, edges, nodes.where(F.col("state").isin("pending", "retry_pending", "skipped")).select("name")).select("name").distinct().withColumn("__skip", F.lit(True))
+    held = edges.join(nodes.select(F.col("name").alias("src"), F.col("state").alias("__up")), "src").groupBy(F.col("dst").alias("name")).agg(F.bool_and(F.col("__up") == "success").alias("__fed"))
+    out = nodes.join(bad, "name", "left").join(held, "name", "left")
+    state = F.when(F.col("__skip"), "skipped").when((F.col("state") == "waiting") & F.coalesce("__fed", F.lit(True)), "ready").otherwise(F.col("state"))
+    return out.select("name", state.alias("state"))
 
 
 def run_status(status):

@@ -214,11 +214,7 @@ def skip_propagation(spark, sf):
     """Everything below a pending step is skipped; a step whose dependencies all succeeded is ready."""
     nodes, edges = _graph(spark)
     state = F.when(F.col("name") == "extract", "retry_pending").when(F.col("name").isin("ingest", "labels"), "success").otherwise("waiting")
-    s = nodes.select("name", state.alias("state"))
-    skipped = graph.closure(spark, edges, s.where("state = 'retry_pending'").select("name")).select("name").distinct().withColumn("skip", F.lit(True))
-    held = edges.join(s.select(F.col("name").alias("src"), F.col("state").alias("up")), "src").groupBy(F.col("dst").alias("name")).agg(F.bool_and(F.col("up") == "success").alias("fed"))
-    out = s.join(skipped, "name", "left").join(held, "name", "left")
-    return out.select("name", F.when(F.col("skip"), "skipped").when((F.col("state") == "waiting") & F.coalesce("fed", F.lit(True)), "ready").otherwise(F.col("state")).alias("state"))
+    return graph.skips(spark, nodes.select("name", state.alias("state")), edges)
 
 
 @query("SELECT user_id, arg_min(event_id, (ts, event_id)) AS first_error, count(*) - 1 AS others FROM events WHERE event_type = 'error' GROUP BY user_id")
@@ -325,9 +321,11 @@ def blob_dedup(spark, sf):
     return read(spark, sf, "documents").groupBy(canon.sha(F.col("text")).alias("digest")).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("refs"))
 
 
-@query("SELECT split_part(url, '?', 1) AS path, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT split_part(split_part(url, '://', 2), '/', 1) AS path, count(*) AS n FROM pages WHERE contains(url, '://') GROUP BY 1 HAVING count(*) > 1")
 def output_conflicts(spark, sf):
-    return read(spark, sf, "pages").groupBy(F.split_part("url", F.lit("?"), F.lit(1)).alias("path")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Pages are written to a file by their host; those with one host conflict."""
+    host = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
+    return read(spark, sf, "pages").where(F.col("url").contains("://")).groupBy(host.alias("path")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 @query("SELECT l_orderkey AS path, string_agg(DISTINCT l_suppkey::VARCHAR, ',' ORDER BY l_suppkey::VARCHAR) AS owners FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1")

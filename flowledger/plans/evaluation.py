@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import canon, text
-from ..operators import calls, evals
+from ..operators import attempts, calls, evals
+from ..sources import responders
 from .scalars import whole_sql
 from .tables import literal_rows, read
 
@@ -39,8 +40,8 @@ def locator_path(spark, sf):
 
 @query("SELECT user_id, list(event_id ORDER BY ts, event_id)[1] AS first_ref, list(event_id ORDER BY ts, event_id)[-1] AS last_ref FROM events GROUP BY user_id")
 def value_refs(spark, sf):
-    e = read(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("a"))
-    return e.select("user_id", F.element_at("a", 1)["event_id"].alias("first_ref"), F.element_at("a", -1)["event_id"].alias("last_ref"))
+    at = F.struct("ts", "event_id")
+    return read(spark, sf, "events").groupBy("user_id").agg(F.min_by("event_id", at).alias("first_ref"), F.max_by("event_id", at).alias("last_ref"))
 
 
 @query("SELECT l.doc_id, 'doc-' || l.doc_id AS path, length(text)::INT AS chars FROM labels l JOIN documents d ON d.doc_id = l.doc_id")
@@ -68,7 +69,9 @@ def id_validation(spark, sf):
 
 @query("SELECT event_id, event_type IN ('error', 'timeout') AS allowed FROM events")
 def retryable(spark, sf):
-    return read(spark, sf, "events").select("event_id", F.col("event_type").isin("error", "timeout").alias("allowed"))
+    policy = attempts.RetryPolicy(retry_on=("error", "timeout"))
+    e = read(spark, sf, "events").select("event_id", policy.next_status(F.lit(True), F.col("event_type"), F.lit(False), F.lit(1)).alias("next"))
+    return e.select("event_id", (F.col("next") == "retry_scheduled").alias("allowed"))
 
 
 @query(f"SELECT event_id, {K} AS k, {K} % 2 = 0 AS stripped FROM events")
@@ -157,7 +160,10 @@ def evolve_winner(spark, sf):
 def merge_feedback(spark, sf):
     """Failing examples by tag: the first two, and how many more."""
     f = read(spark, sf, "labels").where("quality <> 1").select("doc_id", F.explode(F.when(F.col("toxic") == 1, F.array(F.lit("toxic"))).otherwise(F.array(F.lit("untagged")))).alias("tag"))
-    g = f.withColumn("rn", F.row_number().over(W.partitionBy("tag").orderBy("doc_id"))).groupBy("tag").agg(F.array_sort(F.collect_list(F.when(F.col("rn") <= 2, F.struct("rn", "doc_id")))).alias("s"), F.greatest(F.count(F.lit(1)) - 2, F.lit(0).cast("long")).alias("more"))
+    # the first two of each of 64 parts, and then of those: no task ranks a whole tag
+    part = F.row_number().over(W.partitionBy("tag", F.pmod(F.xxhash64("doc_id"), F.lit(64))).orderBy("doc_id"))
+    top = f.withColumn("__n", part).where("__n <= 2").drop("__n").withColumn("rn", F.row_number().over(W.partitionBy("tag").orderBy("doc_id"))).where("rn <= 2")
+    g = f.select("tag", "doc_id", F.lit(None).cast("int").alias("rn")).unionByName(top.withColumn("doc_id", F.col("doc_id"))).groupBy("tag").agg(F.array_sort(F.collect_list(F.when(F.col("rn") <= 2, F.struct("rn", "doc_id")))).alias("s"), F.greatest(F.count_if(F.col("rn").isNull()) - 2, F.lit(0).cast("long")).alias("more"))
     return g.select("tag", F.array_join(F.transform("s.doc_id", lambda x: x.cast("string")), ",").alias("samples"), "more")
 
 
@@ -193,9 +199,8 @@ def preflight_report(spark, sf):
 @query("SELECT user_id, event_id, row_number() OVER w AS sequence, lag(sha256(props || event_id)) OVER w AS previous FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def receipt_chain(spark, sf):
     """Receipts numbered from 1, each with the digest of the state before it."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    state = canon.sha(F.concat("props", F.col("event_id").cast("string")))
-    return read(spark, sf, "events").select("user_id", "event_id", F.row_number().over(w).cast("long").alias("sequence"), F.lag(state).over(w).alias("previous"))
+    states = read(spark, sf, "events").select("user_id", "event_id", "ts", F.concat("props", F.col("event_id").cast("string")).alias("state"))
+    return attempts.receipts(states, "user_id", ["ts", "event_id"], "state").select("user_id", "event_id", F.col("sequence").cast("long").alias("sequence"), "previous")
 
 
 @query("WITH m AS (SELECT variant, doc_id, avg(score) AS s FROM (" + TRIALS + ") GROUP BY ALL), b AS (SELECT doc_id, max(s) AS best FROM m GROUP BY 1) SELECT variant, count(*) FILTER (s = best) AS weight FROM m JOIN b USING (doc_id) GROUP BY variant")
@@ -253,7 +258,7 @@ def call_validated(spark, sf):
 def response_gate(spark, sf):
     """Empty and cut-off responses are failures and never cached."""
     e = read(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, "").otherwise("text").alias("text"), F.when(F.col("event_id") % 5 == 1, "length").otherwise("stop").alias("finish"))
-    return e.select("event_id", F.when(F.col("finish") == "length", "truncated").when(F.col("text") == "", "empty").otherwise("kept").alias("gate"))
+    return e.select("event_id", calls.gate(F.col("text"), F.col("finish")).alias("gate"))
 
 
 @query("SELECT doc_id, doc_id % 6 <> 0 AND doc_id % 7 <> 0 AS ok FROM documents")
@@ -290,17 +295,20 @@ def collect_limits(spark, sf):
 @query("SELECT conv_id, turn, CASE WHEN contains(text, chr(10)) THEN 'lines' WHEN role = 'assistant' THEN 'assistant' ELSE 'other' END AS route FROM conversations")
 def scripted_route(spark, sf):
     """The first route whose marker fits answers."""
-    routes = [(1, F.col("text").contains("\n"), "lines"), (2, F.col("role") == "assistant", "assistant"), (3, F.lit(True), "other")]
-    first = F.array_min(F.array(*(F.when(c, F.struct(F.lit(i).alias("i"), F.lit(n).alias("n"))) for i, c, n in routes)))
-    return read(spark, sf, "conversations").select("conv_id", "turn", first["n"].alias("route"))
+    c = read(spark, sf, "conversations")
+    asked = c.select(F.concat_ws(":", "conv_id", "turn").alias("key"), F.concat(F.when(F.col("text").contains("\n"), "has lines\n").otherwise(""), F.concat(F.lit("role "), "role"), F.lit("\nany\n"), "text").alias("text"))
+    made = responders.scripted(asked, [("has lines", "lines"), ("role assistant", "assistant"), ("any", "other")])
+    at = F.split("key", ":")
+    return made.select(at[0].cast("long").alias("conv_id"), at[1].cast("long").alias("turn"), F.col("response").alias("route"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn = 2 THEN 'mismatch' ELSE 'replayed' END AS state FROM conversations")
 def cassette_replay(spark, sf):
     """Recorded calls answer in order; a request that differs from the recorded one is a mismatch."""
-    c = read(spark, sf, "conversations").select("conv_id", "turn", canon.sha(F.col("text")).alias("request"))
-    tape = c.select("conv_id", "turn", F.when(F.col("turn") == 2, F.lit("?")).otherwise(F.col("request")).alias("recorded"))
-    return c.join(tape, ["conv_id", "turn"]).select("conv_id", "turn", F.when(F.col("request") == F.col("recorded"), "replayed").otherwise("mismatch").alias("state"))
+    c = read(spark, sf, "conversations").select("conv_id", "turn", F.struct("conv_id", "turn").alias("seq"), F.concat_ws(":", "conv_id", "turn").alias("key"), "text")
+    tape = c.select("seq", F.when(F.col("turn") == 2, "?").otherwise(canon.sha(F.col("text"))).alias("request_sha"), F.lit("replayed").alias("response"))
+    same = responders.matches(c, tape)
+    return same.select("seq.conv_id", "seq.turn", F.when(F.col("same"), F.col("response")).otherwise("mismatch").alias("state"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'pending' WHEN turn % 3 = 1 THEN 'approved' ELSE 'changed' END AS state FROM conversations")
@@ -322,7 +330,7 @@ def _attempts(spark, sf):
 @query(f"SELECT event_id, CASE WHEN NOT failed THEN 'success_candidate' WHEN effect THEN 'ambiguous' WHEN attempt < 3 THEN 'retry_scheduled' ELSE 'failed' END AS status FROM ({ATT})")
 def attempt_transition(spark, sf):
     """A running attempt's next status; a failure after a side effect began is ambiguous."""
-    s = F.when(~F.col("failed"), "success_candidate").when(F.col("effect"), "ambiguous").when(F.col("attempt") < 3, "retry_scheduled").otherwise("failed")
+    s = attempts.RetryPolicy(max_attempts=3).next_status(F.col("failed"), F.lit("timeout"), F.col("effect"), F.col("attempt"))
     return _attempts(spark, sf).select("event_id", s.alias("status"))
 
 
@@ -352,8 +360,13 @@ def resume_remaining(spark, sf):
 def recovery_inherited(spark, sf):
     """Results outside the recovered step and what lies below it are inherited."""
     n = read(spark, sf, "nation")
-    below = n.where((F.col("n_regionkey") == 1) | (F.col("n_nationkey") % 7 == 3)).select("n_nationkey").withColumn("b", F.lit(True))
-    return n.join(below, "n_nationkey", "left").select("n_name", F.col("b").isNull().alias("inherited"))
+    # each region feeds its nations; region 1 is recovered, and nations by themselves
+    r = read(spark, sf, "region")
+    nodes = r.select(F.concat(F.lit("region "), F.col("r_regionkey").cast("string")).alias("name")).unionByName(n.select(F.col("n_name").alias("name")))
+    edges = n.select(F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("src"), F.col("n_name").alias("dst"))
+    recovered = n.where("n_nationkey % 7 = 3").select(F.col("n_name").alias("name")).unionByName(nodes.where("name = 'region 1'"))
+    kept = attempts.inherited(nodes, edges, recovered).select(F.col("name").alias("n_name"), F.lit(True).alias("k"))
+    return n.join(kept, "n_name", "left").select("n_name", F.coalesce("k", F.lit(False)).alias("inherited"))
 
 
 @query(f"WITH s AS (SELECT user_id, bool_or(failed AND effect) AS amb, bool_or(failed AND NOT effect AND attempt < 3) AS sched, bool_or(failed) AS f FROM ({ATT}) GROUP BY user_id) SELECT user_id, t.to_status, CASE to_status WHEN 'completed' THEN NOT f WHEN 'pending_retry' THEN sched ELSE amb END AS allowed FROM s, (VALUES ('completed'), ('pending_retry'), ('ambiguous')) t(to_status)")
@@ -382,8 +395,14 @@ def run_integrity(spark, sf):
 def evaluate_errors(spark, sf):
     """A task that fails scores 0 under a tag."""
     d = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id")
-    bad = F.length("text") < 100
-    return d.select("doc_id", F.when(bad, 0.0).otherwise(F.col("quality").cast("double")).alias("score"), F.when(bad, "task_error").alias("tag"))
+
+    def task(example):
+        if len(example["text"]) < 100:
+            raise ValueError("too short")
+        return example["quality"]
+
+    judged = evals.evaluate(d.select("doc_id", "text", "quality"), task, lambda example, output: (output, "", ()), "doc_id")
+    return judged.select("doc_id", "score", F.get("tags", F.lit(0)).alias("tag"))
 
 
 @query("SELECT doc_id, CASE WHEN toxic = 1 THEN 0 ELSE quality END::DOUBLE AS score, CASE WHEN toxic = 1 THEN 'gate' WHEN quality = 0 THEN 'gate,low' ELSE 'gate' END AS tags FROM labels")

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import canon, text
-from ..functions.urls import scrub_url
+from ..functions.urls import SECRET_ENDS, SECRET_KEYS, scrub_url, scrub_urls_in
 from .tables import literal_rows, read
 
 QUERIES, ORACLE = {}, {}
@@ -60,11 +60,11 @@ def slotted():
     return F.concat(F.lit("Dear {{name}}, {{lang}} of {{name}}: {{x_"), (F.col("doc_id") % 3).cast("string"), F.lit("}} {{Bad}} {{ok_1}}"))
 
 
-@query(f"SELECT doc_id, 'name,lang,x_' || (doc_id % 3) || ',ok_1' AS names, 'ok_1' AS missing, CASE WHEN doc_id % 3 = 0 THEN 'x_1' ELSE 'x_0' || CASE WHEN doc_id % 3 = 2 THEN ',x_1' ELSE '' END END AS extra, CASE WHEN doc_id % 3 = 2 THEN 'ok_1,x_2' ELSE 'ok_1' END AS missing_all FROM documents")
+@query(f"SELECT doc_id, 'name,lang,x_' || (doc_id % 3) || ',ok_1' AS names, CASE WHEN doc_id % 3 = 0 THEN 'x_1' ELSE 'x_0' || CASE WHEN doc_id % 3 = 2 THEN ',x_1' ELSE '' END END AS extra, CASE WHEN doc_id % 3 = 2 THEN 'ok_1,x_2' ELSE 'ok_1' END AS missing_all FROM documents")
 def slot_names(spark, sf):
     match = text.slots_match(slotted(), F.array(*map(F.lit, ("name", "lang", "x_0", "x_1"))))
     df = read(spark, sf, "documents").select("doc_id", F.array_join(text.slot_names(slotted()), ",").alias("names"), match.alias("m"))
-    return df.select("doc_id", "names", F.lit("ok_1").alias("missing"), F.array_join("m.extra", ",").alias("extra"), F.array_join("m.missing", ",").alias("missing_all"))
+    return df.select("doc_id", "names", F.array_join("m.extra", ",").alias("extra"), F.array_join("m.missing", ",").alias("missing_all"))
 
 
 @query("SELECT doc_id, 'To {{lang}} from ' || lang || ' and ' || source || ' about {{lang}}.' AS rendered FROM documents")
@@ -150,11 +150,31 @@ def scrub_bearer(spark, sf):
     return read(spark, sf, "documents").select("doc_id", text.scrub_bearer(text.scrub_values(raw, ["s3cret-0", "s3cret-1"])).alias("scrubbed"))
 
 
-@query(None)
+SECRET_URL = "split_part(url, '#', 1) || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'token=t' || page_id || '&my-api-key=k&empty=&a+b=%C3%A9*~%20x'"
+SECRET_KEY = f"list_contains({list(SECRET_KEYS)}, k) OR regexp_matches(k, '({'|'.join(SECRET_ENDS)})$')"
+_FORM = "replace(replace(replace(url_encode({0}), '%20', '+'), '*', '%2A'), '%7E', '~')"
+SCRUBBED = f"""WITH u AS (SELECT page_id, {SECRET_URL} AS url FROM pages),
+p AS (SELECT page_id, split_part(url, '?', 1) AS head, unnest(list_filter(string_split(substr(url, instr(url, '?') + 1), '&'), lambda x: x <> '')) AS part, generate_subscripts(list_filter(string_split(substr(url, instr(url, '?') + 1), '&'), lambda x: x <> ''), 1) AS i FROM u),
+d AS (SELECT page_id, head, i, url_decode(replace(split_part(part, '=', 1), '+', ' ')) AS key, url_decode(replace(CASE WHEN contains(part, '=') THEN substr(part, instr(part, '=') + 1) ELSE '' END, '+', ' ')) AS value FROM p),
+s AS (SELECT *, translate(lower(key), '-', '_') AS k FROM d)
+SELECT page_id, head || '?' || string_agg({_FORM.format("key")} || '=' || {_FORM.format(f"CASE WHEN {SECRET_KEY} THEN '***' ELSE value END")}, '&' ORDER BY i) AS scrubbed FROM s GROUP BY page_id, head"""
+
+
+def _secret_url():
+    mark = F.when(F.col("url").contains("?"), "&").otherwise("?")
+    return F.concat(F.split_part("url", F.lit("#"), F.lit(1)), mark, F.lit("token=t"), F.col("page_id").cast("string"), F.lit("&my-api-key=k&empty=&a+b=%C3%A9*~%20x"))
+
+
+@query(SCRUBBED)
 def scrub_urls(spark, sf):
-    """Without SQL: the query is encoded again by urllib's rules; a unit test holds it against them."""
-    url = F.concat("url", F.when(F.col("url").contains("?"), "&").when(F.col("url").contains("#"), "&no=").otherwise("?"), F.lit("token=t"), F.col("page_id").cast("string"))
-    return read(spark, sf, "pages").select("page_id", scrub_url(url).alias("scrubbed"))
+    return read(spark, sf, "pages").select("page_id", scrub_url(_secret_url()).alias("scrubbed"))
+
+
+@query(f"SELECT page_id, 'see ' || scrubbed || ' and <' || scrubbed || '> end' AS scrubbed FROM ({SCRUBBED})")
+def scrub_urls_in_text(spark, sf):
+    """URLs inside a text, the rest of which stays."""
+    whole = F.concat(F.lit("see "), _secret_url(), F.lit(" and <"), _secret_url(), F.lit("> end"))
+    return read(spark, sf, "pages").select("page_id", scrub_urls_in(whole).alias("scrubbed"))
 
 
 @query("""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN '{' || chr(10) || '  "bytes": ' || octet_length(encode(to_json(text))) || ',' || chr(10) || '  "redacted": true,' || chr(10) || '  "sha256": "' || sha256(to_json(text)) || '"' || chr(10) || '}'

@@ -14,8 +14,13 @@ def scripted(requests: DataFrame, routes: list[tuple[str, str]]) -> DataFrame:
     return requests.select("key", F.when(first.isNull(), F.raise_error(F.concat(F.lit("no route for "), "key"))).otherwise(first["reply"]).alias("response"))
 
 
+def matches(requests: DataFrame, tape: DataFrame) -> DataFrame:
+    """requests (seq, key, text) with the recorded response and `same`: whether the tape has this request at this place."""
+    both = requests.join(tape.select("seq", "request_sha", "response"), "seq", "left")
+    return both.withColumn("same", F.coalesce(F.sha2("text", 256) == F.col("request_sha"), F.lit(False))).drop("request_sha")
+
+
 def cassette(requests: DataFrame, tape: DataFrame) -> DataFrame:
     """(key, response) of requests (seq, key, text) from a tape (seq, request_sha, response); another request at a place is an error."""
-    both = requests.join(tape, "seq", "left")
-    same = F.coalesce(F.sha2("text", 256) == F.col("request_sha"), F.lit(False))
-    return both.select("key", F.when(same, F.col("response")).otherwise(F.raise_error(F.concat(F.lit("not the recorded request at "), F.col("seq").cast("string")))).alias("response"))
+    both = matches(requests, tape)
+    return both.select("key", F.when(F.col("same"), F.col("response")).otherwise(F.raise_error(F.concat(F.lit("not the recorded request at "), F.col("seq").cast("string")))).alias("response"))

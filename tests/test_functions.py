@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from flowledger.functions import canon, text
-from flowledger.functions.urls import scrubbed
+from flowledger.functions.urls import scrub_url, scrub_urls_in
 from flowledger.operators.graph import Pipeline, Template
 
 
@@ -55,9 +55,10 @@ def test_clip_bounds(spark):
         text.clip(F.col("s"), -1)
 
 
-def test_url_secrets():
-    assert scrubbed("https://a.b/c?x=1&api-key=zz&my_token=q#f") == "https://a.b/c?x=1&api-key=%2A%2A%2A&my_token=%2A%2A%2A#f"
-    assert scrubbed(None) is None
+def test_url_secrets(spark):
+    shown = lambda u: one(spark, scrub_url(F.col("u")), u=u)
+    assert shown("https://a.b/c?x=1&api-key=zz&my_token=q#f") == "https://a.b/c?x=1&api-key=%2A%2A%2A&my_token=%2A%2A%2A#f"
+    assert one(spark, scrub_urls_in(F.col("t")), t="go to http://u/p?secret=1&&b 'https://v?q=%zz+~*' no?token=1") == "go to http://u/p?secret=%2A%2A%2A&b= 'https://v?q=%25zz+~%2A' no?token=1"
 
 
 def test_pipeline_order_and_errors():

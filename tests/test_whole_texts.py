@@ -26,34 +26,34 @@ def rows(spark, sf, name):
 
 
 def test_documents_are_whole(spark, texts):
-    assert rows(spark, texts, "inject_docs_whole")[0].block == f"## Material\n\n``````\n{LONG}\n end\n``````\n"
-    assert [r.part for r in rows(spark, texts, "section_docs_whole")] == ["", *[f"## Part\n\n{LONG}\n"] * 2]
-    prompt = rows(spark, texts, "prompt_resolution_whole")[0]
+    assert rows(spark, texts, "inject_docs")[0].block == f"## Material\n\n``````\n{LONG}\n end\n``````\n"
+    assert [r.part for r in rows(spark, texts, "section_docs")] == ["", *[f"## Part\n\n{LONG}\n"] * 2]
+    prompt = rows(spark, texts, "prompt_resolution")[0]
     assert prompt.prompt == f"Summarise.\nBe brief.\n## Text\n\n``````\n{LONG}\n``````\n"
     assert prompt.prompt_sha == hashlib.sha256(prompt.prompt.encode()).hexdigest() and prompt.chars == len(prompt.prompt)
-    assert rows(spark, texts, "judge_prompts_whole")[0].prompt == f"## Answer\n\n``````\n{LONG}\n``````\nScore 0 to 1."
-    label = rows(spark, texts, "mermaid_labels_whole")[0]
+    assert rows(spark, texts, "judge_prompts")[0].prompt == f"## Answer\n\n``````\n{LONG}\n``````\nScore 0 to 1."
+    label = rows(spark, texts, "mermaid_labels")[0]
     assert label.label == f'en & "web"\n{LONG}'.replace("&", "&amp;").replace('"', "&quot;").replace("\n", "<br/>") and len(label.short_label) == 40
-    found = rows(spark, texts, "attachment_data_url_whole")[0]
+    found = rows(spark, texts, "attachment_data_url")[0]
     assert base64.b64decode(found.data_url.partition(",")[2]).decode() == LONG and found.digest == hashlib.sha256(LONG.encode()).hexdigest()
 
 
 def test_conversations_are_whole(spark, texts):
     under = LONG.replace("\n", "\n  ")
-    assert rows(spark, texts, "render_bullets_whole")[0].bullets == f"- {under}\n- {under}!"
-    assert rows(spark, texts, "normalize_messages_whole")[0].wire == f"system:Answer.\nuser:{LONG}\nassistant:{LONG}!"
+    assert rows(spark, texts, "render_bullets")[0].bullets == f"- {under}\n- {under}!"
+    assert rows(spark, texts, "normalize_messages")[0].wire == f"system:Answer.\nuser:{LONG}\nassistant:{LONG}!"
 
 
 def test_sql_has_no_prefix_left():
-    whole = [n for n in ORACLE if n.endswith("_whole")]
-    assert len(whole) >= 8 and not any("substr(text" in ORACLE[n] for n in whole)
+    whole = "inject_docs section_docs render_bullets prompt_resolution mermaid_labels normalize_messages attachment_data_url judge_prompts map_incremental".split()
+    assert not any("substr(text" in ORACLE[n] for n in whole)
     assert whole_sql("substr(t, 1, 37)") == "substr(t, 1, 37)"
 
 
 def test_artifacts_are_of_whole_texts(spark, tmp_path):
     same_start = ["the same twenty letters and " + x for x in ("one", "two")]
     spark.createDataFrame(list(enumerate(same_start, 1)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert [(r.hit, r.artifact) for r in rows(spark, str(tmp_path), "map_incremental_whole")] == [(True, t[::-1] + str(len(t))) for t in same_start]
+    assert [(r.hit, r.artifact) for r in rows(spark, str(tmp_path), "map_incremental")] == [(True, t[::-1] + str(len(t))) for t in same_start]
 
 
 def test_all_keys_and_pages_are_asked(spark, tmp_path):
@@ -63,5 +63,5 @@ def test_all_keys_and_pages_are_asked(spark, tmp_path):
     spark.createDataFrame([(i, f"<p>{i}") for i in (1, 2, 3)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     count = Counter(key(i)[:2] for i in keys)
     want = {p: "found" if n == 1 else "ambiguous" for p, n in count.items()} | {"zz": "not found"}
-    assert {r.prefix: r.state for r in rows(spark, str(tmp_path), "call_prefix_lookup_all")} == want
-    assert [(r.page_id, r.digest) for r in rows(spark, str(tmp_path), "item_files_all")] == [(i, hashlib.sha256(f"<p>{i}".encode()).hexdigest()) for i in (1, 2, 3)]
+    assert {r.prefix: r.state for r in rows(spark, str(tmp_path), "call_prefix_lookup")} == want
+    assert [(r.page_id, r.digest) for r in rows(spark, str(tmp_path), "item_files")] == [(i, hashlib.sha256(f"<p>{i}".encode()).hexdigest()) for i in (1, 2, 3)]
