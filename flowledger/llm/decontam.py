@@ -113,6 +113,8 @@ def leaks(docs: DataFrame, bench: DataFrame, *, k: int = K, percent: int = PERCE
     for b in range(blocks if total else 0):  # one block at a time is on the driver and on the executors
         part = sets.where(F.pmod(F.xxhash64("shingles"), F.lit(blocks)) == b).select("item_id", "shingles")
         held = spark.sparkContext.broadcast([(r.item_id, bytes(r.shingles)) for r in part.collect()])  # about `block` shingles
+        if not held.value:
+            continue
         found = rows.mapInArrow(_search(held, k, percent), schema)
         if blocks > 1:
             found = materialise(found)
