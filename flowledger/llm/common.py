@@ -44,11 +44,13 @@ def _clean() -> None:
             pass
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
+def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df, written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors.
+
+    With by, the last column of df, each of its values has a folder of its own, so that a filter on it reads no other."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/flowledger-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
