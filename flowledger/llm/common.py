@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session may be gone; the files then stay in the checkpoint folder
             pass
 
@@ -48,11 +52,16 @@ def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors.
 
     With by, the last column of df, each of its values has a folder of its own, so that a filter on it reads no other."""
+    return staged(df, by)[0]
+
+
+def staged(df: DataFrame, by: str | None = None) -> tuple[DataFrame, Callable[[], None]]:
+    """As materialise, with a call that deletes the files when nothing needs them any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/flowledger-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), lambda: _delete(spark, path)
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, tie: Column, *, share: int = 1000, parts: int = 64) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("rules", "urlfilter", "license_scan", "neardup", "packing", "decontam", "ranker", "warc", "chat", "idcodec")
+MODULES = ("rules", "urlfilter", "license_scan", "neardup", "packing", "decontam", "ranker", "warc", "chat", "idcodec", "toxicity", "elkan", "runs")
 QUERIES, ORACLE = {}, {}
 for _name in MODULES:
     _module = import_module(f"{__package__}.{_name}")
