@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import ast
+import enum
+import functools
 import hashlib
 import inspect
 import json
+import re
 import textwrap
 from collections.abc import Callable, Iterable, Mapping
 from pathlib import Path
@@ -30,16 +33,76 @@ def source_digest(source: str) -> str:
 
 
 def fingerprint(fn: Callable) -> str:
-    """A function's digest: of its source, or, for a lambda or where there is none, of its code, constants and closure."""
+    """A function's digest: of its source (of its code and constants, for a lambda), its default values, the values that it closes over, and the
+    functions and plain values of its own module that it names. What has no value of its own to digest is refused."""
+    return digest(_described(fn, {}))
+
+
+def _code_of(fn) -> str:
     try:
-        if getattr(fn, "__name__", "") == "<lambda>":
+        if fn.__name__ == "<lambda>":
             raise TypeError("the line of a lambda has more than the lambda")
         return source_digest(inspect.getsource(fn))
     except (OSError, TypeError, SyntaxError):
-        code = getattr(fn, "__code__", None)
-        if code is None:
-            raise ValueError(f"the source of {fn!r} can't be read") from None
-        return digest(_code(code) + [repr(c.cell_contents) if isinstance(c.cell_contents, (str, int, float, bool, tuple)) else "" for c in (fn.__closure__ or ())])
+        return digest(_code(fn.__code__))
+
+
+_PLAIN = (type(None), bool, int, float, complex, str, bytes)
+
+
+def _described(value, seen: dict):
+    """A JSON value that differs where the value differs."""
+    kind = type(value).__name__
+    if isinstance(value, _PLAIN):
+        return [kind, repr(value)]
+    if id(value) in seen:
+        return ["seen", seen[id(value)]]
+    seen[id(value)] = len(seen)
+    inner = lambda x: _described(x, seen)
+    if isinstance(value, functools.partial):
+        return [kind, inner(value.func), [inner(x) for x in value.args], {k: inner(x) for k, x in sorted(value.keywords.items())}]
+    if inspect.isfunction(value):
+        names = sorted(set(value.__code__.co_names))
+        near = {n: value.__globals__[n] for n in names if n in value.__globals__ and _is_near(value.__globals__[n], value.__module__)}
+        cells = [inner(c.cell_contents) for c in value.__closure__ or ()]
+        return ["function", _code_of(value), [inner(x) for x in value.__defaults__ or ()], {k: inner(x) for k, x in sorted((value.__kwdefaults__ or {}).items())}, cells, {n: inner(x) for n, x in near.items()}]
+    if inspect.ismethod(value):
+        return ["method", inner(value.__func__), inner(value.__self__)]
+    if isinstance(value, (list, tuple)):
+        return [kind, [inner(x) for x in value]]
+    if isinstance(value, (set, frozenset)):
+        return [kind, sorted((json.dumps(inner(x), default=str) for x in value))]
+    if isinstance(value, Mapping):
+        return [kind, sorted(([inner(k), inner(v)] for k, v in value.items()), key=lambda kv: json.dumps(kv[0], default=str))]
+    if inspect.ismodule(value) or inspect.isbuiltin(value):
+        return [kind, value.__name__]
+    if inspect.isclass(value):
+        try:
+            return [kind, value.__qualname__, source_digest(inspect.getsource(value))]
+        except (OSError, TypeError, SyntaxError):
+            return [kind, value.__module__, value.__qualname__]
+    if isinstance(value, (Path, re.Pattern, enum.Enum)) or kind in ("date", "datetime", "timedelta", "Decimal", "UUID"):
+        return [kind, str(value)]
+    if kind == "ndarray":
+        return [kind, str(value.dtype), list(value.shape), hashlib.sha256(value.tobytes()).hexdigest()]
+    if hasattr(value, "sparkSession") and hasattr(value, "toDF"):
+        from .frames import content_digest
+
+        return ["table", content_digest(value)]
+    if kind == "SparkSession":
+        return [kind]
+    if type(value).__module__.startswith("pyspark."):
+        return [kind, value.json() if hasattr(value, "json") else str(value)]
+    if hasattr(value, "__wrapped__"):
+        return [kind, inner(value.__wrapped__)]
+    held = getattr(value, "__dict__", None)
+    if held is None or type(value).__module__ == "builtins":
+        raise ValueError(f"{value!r} has no digest, so results of a function that uses it can't be stored")
+    return [kind, inner(type(value)), {k: inner(v) for k, v in sorted(held.items())}]
+
+
+def _is_near(value, module: str) -> bool:
+    return isinstance(value, _PLAIN) or (inspect.isfunction(value) and value.__module__ == module) or (isinstance(value, (tuple, frozenset)) and all(isinstance(x, _PLAIN) for x in value))
 
 
 def _code(code) -> list:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.canon import sha
 
@@ -80,3 +83,23 @@ def prefix_reuse(rows: DataFrame, chain: str, order: list[str], same: Column) ->
     """rows with `hit`: this item and all before it in its chain are unchanged."""
     miss = F.max((~F.coalesce(same, F.lit(False))).cast("int")).over(W.partitionBy(chain).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
     return rows.withColumn("hit", miss == 0)
+
+
+def per_item(items: DataFrame, item: str, fn: Callable[[dict], list[dict]], out: str) -> DataFrame:
+    """(item, out columns, error): fn gives an item's rows as dicts, any number of them. An item for which it raises has one row with what it raised as
+    `error`, and the others go on."""
+    fields = StructType.fromDDL(out).fields
+    schema = StructType([items.schema[item], *fields, StructField("error", StringType())])
+    arrow, names = to_arrow_schema(schema), [f.name for f in fields]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                try:
+                    rows += [{item: row[item], **{n: made.get(n) for n in names}, "error": None} for made in fn(row)]
+                except Exception as e:  # noqa: BLE001 - becomes the item's row
+                    rows.append({item: row[item], **dict.fromkeys(names), "error": f"{type(e).__name__}: {e}"})
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    return items.mapInArrow(run, schema)

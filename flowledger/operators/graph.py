@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_EDGES = 100_000
@@ -26,6 +26,18 @@ class Step:
     item: str = "id"
     version: str = ""
     approve: bool = False
+    files: tuple[str, ...] = ()  # declared paths and globs, below the run's root
+    files_fn: Callable[[DataFrame], Column] | None = None  # of a map's items: the paths that each one reads
+    params: Mapping = field(default_factory=dict)
+    retries: int = 0  # of a failed step, or of a map's failed items
+    errors: str | None = None  # the column of a map's results that tells what is wrong with an item
+    keep_errors: bool = False  # go on with the other items' results where some items fail
+    uses: tuple[str, ...] = ()  # resources of which the run may have a limited number
+    aggregate: Callable[[DataFrame], DataFrame] | None = None
+    chain: str | None = None  # of a scan: its items' chain, their order in it, the first carry and the columns of its results
+    by: tuple[str, ...] = ()
+    start: object = None
+    out: str = ""
 
 
 @dataclass(frozen=True)
@@ -40,6 +52,7 @@ class RunResult:
     failed: dict[str, str] = field(default_factory=dict)
     run_id: str = ""
     identity: str = ""
+    item_errors: dict[str, DataFrame] = field(default_factory=dict)  # (id, key, error, attempts) of maps whose failed items were kept apart
 
 
 class Template:
@@ -65,14 +78,25 @@ class Template:
         return register
 
 
+def _renamed(fn: Callable, names: Mapping[str, str]) -> Callable:
+    """fn of a template, which knows its dependencies by the template's names."""
+
+    def call(got, *more):
+        mine = {d: got[n] for d, n in names.items()}
+        return fn(got.having(mine) if hasattr(got, "having") else mine, *more)
+
+    return call
+
+
 class Pipeline:
     """Steps by name. A step's function gets a dict of its dependencies' DataFrames; nothing runs before an action."""
 
     def __init__(self) -> None:
         self.steps: dict[str, Step] = {}
 
-    def node(self, name: str, deps: Iterable[str] = (), *, consumes: Mapping[str, Iterable[str]] | None = None, kind: str = "node", items_from: str | None = None, cache: str = "auto", item: str = "id", version: str = "", approve: bool = False):
-        """item names the id column of a map's items; version is part of every key; approve holds back what needs the step until it is approved."""
+    def node(self, name: str, deps: Iterable[str] = (), *, consumes: Mapping[str, Iterable[str]] | None = None, kind: str = "node", cache: str = "auto", **options):
+        """Options are the fields of Step: item names the id column of a map's items; version and params are part of every key; approve holds
+        back what needs the step until it is approved; files and files_fn declare what is read."""
         deps = tuple(dict.fromkeys(deps))
         view = {d: tuple(c) for d, c in (consumes or {}).items()}
         if name in self.steps or not _NAME.fullmatch(name):
@@ -81,9 +105,18 @@ class Pipeline:
             raise ValueError(f"unknown cache policy {cache!r}")
         if extra := set(view) - set(deps):
             raise ValueError(f"consumes names steps that aren't dependencies: {sorted(extra)}")
+        if unknown := set(options) - {f.name for f in fields(Step)}:
+            raise TypeError(f"unknown options of a step: {sorted(unknown)}")
+        if kind != "map" and any(options.get(x) for x in ("files_fn", "errors", "aggregate")):
+            raise ValueError("files_fn, errors and aggregate are options of a map")
+        if options.get("files_fn") and not options.get("files"):
+            raise ValueError("files_fn chooses among declared files")
+        if options.get("chain") and not (options.get("by") and options.get("out")):
+            raise ValueError("a scan over chains needs by and out")
+        held = {k: tuple(v) if k in ("files", "by", "uses") else v for k, v in options.items()}
 
         def register(fn):
-            self.steps[name] = Step(name, fn, deps, kind, view, items_from, cache, item, version, approve)
+            self.steps[name] = Step(name, fn, deps, kind, view, cache=cache, **held)
             return fn
 
         return register
@@ -116,7 +149,10 @@ class Pipeline:
                 held["items_from"] = named[held["items_from"]]
             if held.get("consumes"):
                 held["consumes"] = {named[d]: c for d, c in held["consumes"].items()}
-            self.node(named[name], [named[d] for d in deps], **held)(lambda got, fn=fn, deps=deps: fn({d: got[named[d]] for d in deps}))
+            if held.get("chain"):
+                self.node(named[name], [named[d] for d in deps], **held)(fn)
+                continue
+            self.node(named[name], [named[d] for d in deps], **held)(_renamed(fn, {d: named[d] for d in deps}))
         return {o: named[o] for o in template.outputs}
 
     def order(self, targets: Iterable[str] | None = None) -> list[str]:
