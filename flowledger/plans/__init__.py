@@ -1,10 +1,10 @@
 """Registered queries of the dataflow engine, and their SQL."""
 
-from . import dataflow, engine, evaluation, flagship, scalars
+from . import cached, dataflow, engine, evaluation, flagship, scalars
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (flagship, scalars, dataflow, evaluation, engine):
+for _module in (flagship, scalars, dataflow, evaluation, engine, cached):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
 
