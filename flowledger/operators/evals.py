@@ -7,12 +7,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.canon import sha
+from ..functions.rolling import anchors, share_window
+from .skyline import skyline
 
 
 def gated(gate: Column, quality: Column, gate_tags: Column, quality_tags: Column) -> Column:
@@ -32,20 +34,10 @@ def summary(trials: DataFrame, threshold: float) -> DataFrame:
 
 
 def pareto(scores: DataFrame, key: str, metrics: list[str], shorter: str) -> DataFrame:
-    """Rows that no other row dominates: as good in all metrics and better in one, or equal in all and shorter. Only the distinct metric
-    tuples are compared with each other, after those that a better row of the same first metrics beats are gone."""
-    best = scores.groupBy(*metrics).agg(F.min(shorter).alias("__short"))
-    for i in range(len(metrics)):
-        rest = [m for j, m in enumerate(metrics) if j != i]
-        best = best.withColumn("__top", F.max(metrics[i]).over(W.partitionBy(*rest))).where(F.col(metrics[i]) == F.col("__top")).drop("__top")
-    other = best.select(*(F.col(m).alias(f"__{m}") for m in metrics))
-    beaten = F.lit(True)
-    better = F.lit(False)
-    for m in metrics:
-        beaten = beaten & (F.col(f"__{m}") >= F.col(m))
-        better = better | (F.col(f"__{m}") > F.col(m))
-    front = best.join(other, beaten & better, "left_anti")
-    return scores.join(front, metrics).where(F.col(shorter) == F.col("__short")).select(key, *metrics)
+    """Rows that no other row dominates: as good in all metrics and better in one, or equal in all and shorter. Rows with a null metric are left out."""
+    front = skyline(scores, metrics)
+    best = scores.groupBy(*metrics).agg(F.min(shorter).alias("__short")).join(front, metrics)
+    return scores.join(best, metrics).where(F.col(shorter).eqNullSafe(F.col("__short"))).select(key, *metrics)
 
 
 def evaluate(examples: DataFrame, task: Callable[[dict], object], metric: Callable[[dict, object], tuple], key: str) -> DataFrame:
@@ -147,47 +139,33 @@ def winner(candidates: DataFrame) -> DataFrame:
 
 def leak_windows(texts: DataFrame, samples: DataFrame, run: int, seed: str | None = None) -> DataFrame:
     """(id, sample_id): texts that have any `run` characters in a row from a sample, not counting runs that stand in `seed` too (the text
-    that a candidate was made from). Both sides are (id, text).
-
-    Such a run holds one whole piece of run // 2 characters at a multiple of that length in the text. Those pieces are looked up
-    among all pieces of the samples, and a hit is extended to both sides. The samples are split into blocks of about
-    1,000,000 characters, each broadcast; texts are read once for each block."""
-    spark = texts.sparkSession
-    total = samples.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks, piece = max(1, -(-total // 1_000_000)), max(1, run // 2)
-    out = None
-    for b in range(blocks):
-        rows = samples.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).where("text IS NOT NULL").select("id", "text").collect()
-        places: dict[str, list[tuple[int, int]]] = {}
-        for n, r in enumerate(rows):
-            for i in range(len(r.text) - piece + 1):
-                places.setdefault(r.text[i : i + piece], []).append((n, i))
-        held = spark.sparkContext.broadcast(([(r.id, r.text) for r in rows], places))
-
-        def leaks(t, held):
-            known, at = held
-            allowed = {seed[i : i + run] for i in range(len(seed) - run + 1)} if seed else frozenset()
-            found = set()
-            for q in range(0, len(t) - piece + 1, piece):
-                for n, o in at.get(t[q : q + piece], ()):
-                    if n in found:
-                        continue
-                    s, left, right = known[n][1], 0, piece
-                    while (allowed or left < run - piece) and q > left and o > left and t[q - left - 1] == s[o - left - 1]:
-                        left += 1
-                    while (allowed or left + right < run) and q + right < len(t) and o + right < len(s) and t[q + right] == s[o + right]:
-                        right += 1
-                    if any(t[w : w + run] not in allowed for w in range(q - left, q + right - run + 1)):
-                        found.add(n)
-            return {known[n][0] for n in found}
-
-        def search(batches, held=held, leaks=leaks):
-            import pandas as pd
-
-            for pdf in batches:
-                found = [(i, s) for i, t in zip(pdf["id"], pdf["text"], strict=True) if t for s in leaks(t, held.value)]
-                yield pd.DataFrame(found, columns=["id", "sample_id"])
-
-        part = texts.select("id", "text").mapInPandas(search, "id long, sample_id long")
-        out = part if out is None else out.unionByName(part)
-    return out
+    that a candidate was made from). Both sides are (id, text), with ids of any type; an id may repeat, null texts have no runs.
+
+    Texts with a common window have a common anchor, so both sides' distinct anchors are joined, and each pair that met is compared by all its windows, in
+    time in proportion to both texts however repetitive they are."""
+    allowed = {seed[i : i + run] for i in range(len(seed) - run + 1)} if seed else set()
+
+    def anchored(batches):
+        for batch in batches:
+            found = [anchors(t, run) for t in batch.column(1).to_pylist()]
+            rows = np.repeat(np.arange(len(batch)), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))], names=["key", "anchor"])
+
+    def marked(df: DataFrame, name: str) -> DataFrame:
+        return df.select("text_sha", "text").mapInArrow(anchored, "key string, anchor long").withColumnRenamed("key", name)
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.where(F.length("text") >= run).select("id", "text", sha(F.col("text")).alias("text_sha"))
+
+    def compared(batches):
+        for batch in batches:
+            ok = [share_window(a, b, run, allowed) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["t", "s"]).filter(pa.array(ok))
+
+    mine, theirs = keyed(texts), keyed(samples)
+    pairs = marked(mine, "t").join(marked(theirs, "s").distinct(), "anchor").select("t", "s").distinct()
+    one = lambda df, name, text: df.join(pairs.select(F.col(name).alias("text_sha")).distinct(), "text_sha", "left_semi").groupBy(F.col("text_sha").alias(name)).agg(F.first("text").alias(text))  # noqa: E731 - equal texts are compared once
+    met = pairs.join(one(theirs, "s", "b"), "s").join(one(mine, "t", "a"), "t")
+    leaks = met.select("t", "s", "a", "b").mapInArrow(compared, "t string, s string")
+    found = leaks.join(mine.select(F.col("text_sha").alias("t"), "id"), "t").join(theirs.select(F.col("text_sha").alias("s"), F.col("id").alias("sample_id")), "s")
+    return found.select("id", "sample_id").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import canon
-from ..operators import cache, dynamic, graph
+from ..operators import cache, dynamic, graph, ordered, scans
 from .tables import V2, changed, literal_rows, read
 
 QUERIES, ORACLE = {}, {}
@@ -89,33 +89,40 @@ SELECT user_id, event_id, {out} FROM r"""
 def scan_fold(spark, sf):
     """A balance held between 0 and 100, which no window can express."""
     e = read(spark, sf, "events").withColumn("move", F.when(F.col("event_type") == "error", -40).otherwise(F.get_json_object("props", "$.k").cast("long")))
-    step = lambda s, x: F.least(F.lit(100).cast("long"), F.greatest(F.lit(0).cast("long"), s + x["move"]))
-    return dynamic.fold(e, "user_id", ["ts", "event_id"], ["move"], F.lit(50).cast("long"), step, step).select("user_id", "event_id", F.col("out").alias("balance"))
+
+    def step(balance, row):
+        now = min(100, max(0, balance + (row["move"] or 0)))
+        return now, {"balance": now}
+
+    return scans.fold(e.select("user_id", "ts", "event_id", "move"), "user_id", ["ts", "event_id"], 50, step, "balance long").select("user_id", "event_id", "balance")
 
 
 @query(_ordered_sql("CASE WHEN event_type = 'error' THEN 4 ELSE 8 END AS cap, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS streak",
     "CASE WHEN e.event_type = 'error' THEN greatest(1, r.cap // 2) WHEN r.streak + 1 >= 3 THEN least(8, r.cap + 1) ELSE r.cap END, CASE WHEN e.event_type = 'error' OR r.streak + 1 >= 3 THEN 0 ELSE r.streak + 1 END", "cap::INT AS capacity"))
 def adaptive_capacity(spark, sf):
     """Half the slots after a throttle, one more after three successes in a row; between 1 and 8, and 8 at first."""
-    e = read(spark, sf, "events").withColumn("bad", F.col("event_type") == "error")
+    e = read(spark, sf, "events").select("user_id", "ts", "event_id", (F.col("event_type") == "error").alias("bad"))
 
-    def step(s, x):
-        full = s["streak"] + 1 >= 3
-        cap = F.when(x["bad"], F.greatest(F.lit(1), F.floor(s["cap"] / 2).cast("int"))).when(full, F.least(F.lit(8), s["cap"] + 1)).otherwise(s["cap"])
-        return F.struct(cap.alias("cap"), F.when(x["bad"] | full, 0).otherwise(s["streak"] + 1).alias("streak"))
+    def step(state, row):
+        cap, streak = state
+        full = streak + 1 >= 3
+        cap = max(1, cap // 2) if row["bad"] else min(8, cap + 1) if full else cap
+        return (cap, 0 if row["bad"] or full else streak + 1), {"capacity": cap}
 
-    start = F.struct(F.lit(8).alias("cap"), F.lit(0).alias("streak"))
-    return dynamic.fold(e, "user_id", ["ts", "event_id"], ["bad"], start, step, step).select("user_id", "event_id", F.col("out.cap").alias("capacity"))
+    return scans.fold(e, "user_id", ["ts", "event_id"], (8, 0), step, "capacity int").select("user_id", "event_id", "capacity")
 
 
 @query(_ordered_sql("CASE WHEN k <= 300 THEN k ELSE 0 END AS used, CASE WHEN k <= 300 THEN 1 ELSE 0 END AS n, k <= 300 AS keep", "r.used + CASE WHEN r.n < 5 AND r.used + e.k <= 300 THEN e.k ELSE 0 END, r.n + CASE WHEN r.n < 5 AND r.used + e.k <= 300 THEN 1 ELSE 0 END, r.n < 5 AND r.used + e.k <= 300", "keep AS kept"))
 def trajectory_cap(spark, sf):
     """Events kept while their number and size stay below caps; a dropped event doesn't stop later, smaller ones."""
-    e = read(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
-    fits = lambda s, x: (s["n"] < 5) & (s["used"] + x["k"] <= 300)
-    step = lambda s, x: F.struct(F.when(fits(s, x), s["used"] + x["k"]).otherwise(s["used"]).alias("used"), F.when(fits(s, x), s["n"] + 1).otherwise(s["n"]).alias("n"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"))
-    return dynamic.fold(e, "user_id", ["ts", "event_id"], ["k"], start, step, fits).select("user_id", "event_id", F.col("out").alias("kept"))
+    e = read(spark, sf, "events").select("user_id", "ts", "event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+    def step(state, row):
+        used, n = state
+        fits = row["k"] is not None and n < 5 and used + row["k"] <= 300
+        return ((used + row["k"], n + 1) if fits else state), {"kept": fits}
+
+    return scans.fold(e, "user_id", ["ts", "event_id"], (0, 0), step, "kept boolean").select("user_id", "event_id", "kept")
 
 
 @query("""WITH RECURSIVE c AS (SELECT conv_id, turn, greatest(1, length(text) // 4 * 2) AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
@@ -124,10 +131,13 @@ UNION ALL SELECT c.conv_id, c.turn, c.rn, r.spent + CASE WHEN r.spent + c.cost <
 SELECT conv_id, turn, ok AS admitted FROM r""")
 def budget_admission(spark, sf):
     """A call is admitted if its estimate fits what is left; a denied one spends nothing."""
-    c = read(spark, sf, "conversations").withColumn("cost", F.greatest(F.lit(1).cast("long"), F.floor(F.length("text") / 4).cast("long") * 2))
-    fits = lambda s, x: s + x["cost"] <= 600
-    step = lambda s, x: F.when(fits(s, x), s + x["cost"]).otherwise(s)
-    return dynamic.fold(c, "conv_id", ["turn"], ["cost"], F.lit(0).cast("long"), step, fits).select("conv_id", "turn", F.col("out").alias("admitted"))
+    c = read(spark, sf, "conversations").select("conv_id", "turn", F.greatest(F.lit(1).cast("long"), F.floor(F.length("text") / 4).cast("long") * 2).alias("cost"))
+
+    def step(spent, row):
+        fits = spent + row["cost"] <= 600
+        return (spent + row["cost"] if fits else spent), {"admitted": fits}
+
+    return scans.fold(c, "conv_id", ["turn"], 0, step, "admitted boolean").select("conv_id", "turn", "admitted")
 
 
 @query("SELECT conv_id, turn, bool_and(NOT (conv_id % 5 = 0 AND turn = 2)) OVER (PARTITION BY conv_id ORDER BY turn) AS hit FROM conversations")
@@ -421,5 +431,26 @@ def duplicate_ids(spark, sf):
 
 @query("SELECT lang, sha256(string_agg(sha256(text), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY lang")
 def ordered_digest(spark, sf):
-    files = read(spark, sf, "documents").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", canon.sha(F.col("text")).alias("d")))).alias("f"))
-    return files.select("lang", canon.sha(F.array_join("f.d", "\n")).alias("digest"))
+    """The digests of a language's texts in order, streamed through one digest."""
+    files = read(spark, sf, "documents").select("lang", "doc_id", canon.sha(F.col("text")).alias("d"))
+    return ordered.stream_digest(files, "lang", ["doc_id"], "d")
+
+
+_TREE = """WITH l AS (SELECT lang, doc_id // 64 AS node, sha256(string_agg(sha256({text}), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1, 2),
+m AS (SELECT lang, node // 64 AS node, sha256(string_agg(digest, chr(10) ORDER BY node)) AS digest FROM l GROUP BY 1, 2),
+r AS (SELECT lang, node // 64 AS node, sha256(string_agg(digest, chr(10) ORDER BY node)) AS digest FROM m GROUP BY 1, 2)
+SELECT lang, 0 AS level, node, digest FROM l UNION ALL SELECT lang, 1, node, digest FROM m UNION ALL SELECT lang, 2, node, digest FROM r"""
+
+
+@query(_TREE.replace("{text}", "text"))
+def merkle_tree(spark, sf):
+    """A tree of digests of each language's texts, by ranges of ids."""
+    return ordered.merkle(read(spark, sf, "documents"), "lang", "doc_id", F.col("text"), 2)
+
+
+@query(_TREE.replace("{text}", "CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END"))
+def merkle_edited(spark, sf):
+    """The same tree after an edit: only nodes above edited texts are computed anew."""
+    docs = read(spark, sf, "documents").select("lang", "doc_id", "text")
+    held = ordered.merkle(docs, "lang", "doc_id", F.col("text"), 2)
+    return ordered.merkle_update(held, changed(docs), docs.where("doc_id % 10 = 0").select("lang", "doc_id"), "lang", "doc_id", F.col("text"), 2)
\ No newline at end of file

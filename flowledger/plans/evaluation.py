@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import canon, text
-from ..operators import attempts, calls, evals
+from ..operators import attempts, calls, evals, ordered
 from ..sources import responders
 from .scalars import whole_sql
 from .tables import literal_rows, read
@@ -286,10 +286,9 @@ def attachment_select(spark, sf):
 
 @query("WITH d AS (SELECT lang, doc_id, octet_length(encode(text)) AS b FROM documents) SELECT lang, doc_id, sum(b) OVER (PARTITION BY lang ORDER BY doc_id)::BIGINT AS total, sum(b) OVER (PARTITION BY lang ORDER BY doc_id) <= 100000 AND b <= 20000 AND row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 64 AS within FROM d")
 def collect_limits(spark, sf):
-    w = W.partitionBy("lang").orderBy("doc_id")
     d = read(spark, sf, "documents").select("lang", "doc_id", F.octet_length("text").cast("long").alias("b"))
-    t = F.sum("b").over(w.rowsBetween(W.unboundedPreceding, 0))
-    return d.select("lang", "doc_id", t.alias("total"), ((t <= 100000) & (F.col("b") <= 20000) & (F.row_number().over(w) <= 64)).alias("within"))
+    d = ordered.prefix_sums(d, "lang", ["doc_id"], {"total": F.col("b"), "n": F.lit(1).cast("long")})
+    return d.select("lang", "doc_id", "total", ((F.col("total") <= 100000) & (F.col("b") <= 20000) & (F.col("n") <= 64)).alias("within"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN contains(text, chr(10)) THEN 'lines' WHEN role = 'assistant' THEN 'assistant' ELSE 'other' END AS route FROM conversations")
