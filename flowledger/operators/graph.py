@@ -10,6 +10,8 @@ from dataclasses import dataclass, field, fields
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.paths import projected
+
 MOST_EDGES = 100_000
 _NAME = re.compile(r"[^\W@/\\][^@/\\]*")
 
@@ -20,7 +22,7 @@ class Step:
     fn: Callable[..., DataFrame]
     deps: tuple[str, ...] = ()
     kind: str = "node"
-    consumes: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
+    consumes: Mapping = field(default_factory=dict)  # of dependencies: columns, paths by name, or a function of the table
     items_from: str | None = None
     cache: str = "auto"
     item: str = "id"
@@ -55,6 +57,22 @@ class RunResult:
     item_errors: dict[str, DataFrame] = field(default_factory=dict)  # (id, key, error, attempts) of maps whose failed items were kept apart
 
 
+def viewed(step: Step, dep: str, df: DataFrame) -> DataFrame:
+    """What a step sees of a dependency: all, some columns, what stands at some paths (by name), or what a function of the table gives."""
+    view = step.consumes.get(dep)
+    if view is None:
+        return df
+    try:
+        if callable(view):
+            made = view(df)
+            if not isinstance(made, DataFrame):
+                raise TypeError("a projection returns a table")
+            return made
+        return projected(df, view) if isinstance(view, Mapping) else df.select(*view)
+    except Exception as e:
+        raise RuntimeError(f"step {step.name!r} can't consume {dep!r}: {type(e).__name__}: {e}") from e
+
+
 class Template:
     """Steps with input ports, to be mounted under a namespace any number of times."""
 
@@ -98,7 +116,7 @@ class Pipeline:
         """Options are the fields of Step: item names the id column of a map's items; version and params are part of every key; approve holds
         back what needs the step until it is approved; files and files_fn declare what is read."""
         deps = tuple(dict.fromkeys(deps))
-        view = {d: tuple(c) for d, c in (consumes or {}).items()}
+        view = {d: dict(c) if isinstance(c, Mapping) else c if callable(c) else tuple(c) for d, c in (consumes or {}).items()}
         if name in self.steps or not _NAME.fullmatch(name):
             raise ValueError(f"step name {name!r} is taken or not allowed")
         if cache not in ("auto", "refresh", "off"):
@@ -186,8 +204,7 @@ class Pipeline:
 
         def build(name: str) -> DataFrame:
             step = self.steps[name]
-            got = {d: made[d].select(*step.consumes[d]) if d in step.consumes else made[d] for d in step.deps}
-            df = step.fn(got)
+            df = step.fn({d: viewed(step, d, made[d]) for d in step.deps})
             return seal(name, df) if seal else df
 
         waiting = list(order)

@@ -29,7 +29,7 @@ from ..sources.keyed import BUCKET, KEY, Keyed, bucket
 from ..sources.store import Store
 from . import scans
 from .dynamic import check_items, with_keys
-from .graph import Pipeline, RunResult, Step
+from .graph import Pipeline, RunResult, Step, viewed
 
 ENTRIES = "key string, step string, place string, digest string"
 SIDECARS = "node string, cache_key string, cache string, cache_policy string, outputs array<string>, seconds double, artifact_sha256 string, place string, run_identity string, run_sidecar_schema int, created_at double, attempts int"
@@ -43,7 +43,7 @@ class MapItemsError(RuntimeError):
 
 def declarations(pipeline: Pipeline, order: Iterable[str]) -> dict[str, dict]:
     return {
-        n: {"fn": fingerprint(s.fn), "deps": s.deps, "kind": s.kind, "cache": s.cache, "version": s.version, "consumes": dict(s.consumes), "files": s.files, "params": dict(s.params)}
+        n: {"fn": fingerprint(s.fn), "deps": s.deps, "kind": s.kind, "cache": s.cache, "version": s.version, "consumes": {d: fingerprint(c) if callable(c) else c for d, c in s.consumes.items()}, "files": s.files, "params": dict(s.params)}
         for n in order for s in [pipeline.steps[n]]
     }
 
@@ -70,15 +70,24 @@ class _Run:
         self.hits: dict[str, bool] = {}
         self.items: dict[str, tuple[int, int]] = {}
         self.item_errors: dict[str, DataFrame] = {}
+        self.views: dict[int, DataFrame] = {}  # tables that aren't known by their step and columns
 
     # keys
 
     def digest_of(self, name: str, df: DataFrame) -> str:
         at = (name, *df.columns)
+        if id(df) in self.views:
+            at = (name, id(df))
         if at not in self.digests:
             self.digests[at] = content_digest(df)
         return self.digests[at]
 
+    def seen(self, step: Step, made: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+        """A step's dependencies as it sees them."""
+        got = {d: viewed(step, d, made[d]) for d in step.deps}
+        self.views |= {id(df): df for d, df in got.items() if d in step.consumes and not isinstance(step.consumes[d], tuple)}
+        return got
+
     def declared(self, step: Step) -> DataFrame | None:
         return declared(self.snapshot, step.files) if step.files and self.snapshot is not None else None
 
@@ -345,7 +354,7 @@ def execute(
             run.hits[step.name] = earlier[step.name]["cache"] == "hit"
             run.digests[(step.name, *df.columns)] = earlier[step.name]["artifact_sha256"]
             return df, None
-        got = {d: made[d].select(*step.consumes[d]) if d in step.consumes else made[d] for d in step.deps}
+        got = run.seen(step, made)
         began = time.time()
         df, row = permits.run(step.uses, lambda: run.build(step, got))
         return df, row | {"seconds": time.time() - began, "run_identity": identity, "run_sidecar_schema": 1, "created_at": time.time()}
@@ -412,7 +421,7 @@ def plan(pipeline: Pipeline, store: Store, targets: Iterable[str] | None = None,
         if any(d not in known for d in step.deps) or (step.files and snapshot is None):
             out[name] = "unknown"
             continue
-        got = {d: known[d].select(*step.consumes[d]) if d in step.consumes else known[d] for d in step.deps}
+        got = run.seen(step, known)
         out[name] = "miss"
         made = step.fn(run.inputs(step, got)) if not step.deps and (read_sources or step.cache == "auto") else None
         if made is not None and read_sources:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import canon, text
+from ..functions import canon, paths, redact, text
 from ..operators import attempts, calls, evals, ordered
 from ..sources import responders
 from .scalars import whole_sql
@@ -467,3 +467,45 @@ def evolve_round(spark, sf):
     parent = t.where("variant = 'incumbent'").select("doc_id", F.col("s").alias("p"))
     g = t.join(parent, "doc_id").groupBy("variant").agg((F.avg("s") >= F.avg("p")).alias("mean_ok"), F.bool_and(F.col("s") >= F.col("p")).alias("no_regression"))
     return g
+
+
+NESTED = """(SELECT event_id, k, event_type, '{"payload": {"list": [' || k || ', ' || (k + 1) || ', {"at": ' || event_id || '}], "kind": ' || to_json(event_type) || ', "text": ' || to_json(event_type || k) || '}, "seen": [true, null]}' AS said FROM (SELECT event_id, event_type, (props->>'$.k')::BIGINT AS k FROM events))"""
+
+
+def _nested_props(spark, sf):
+    """Events whose props have been put into a larger object, as text."""
+    k = prop()
+    said = F.concat(F.lit('{"payload": {"list": ['), k.cast("string"), F.lit(", "), (k + 1).cast("string"), F.lit(', {"at": '), F.col("event_id").cast("string"), F.lit('}], "kind": '), canon.json_string(F.col("event_type")), F.lit(', "text": '), canon.json_string(F.concat("event_type", k.cast("string"))), F.lit('}, "seen": [true, null]}'))
+    return read(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), "event_type", said.alias("said"))
+
+
+@query(f"SELECT event_id, k AS first, k + 1 AS second, event_id AS last_at, event_type AS kind, NULL::BIGINT AS absent, (props->>'$.k')::BIGINT AS k FROM {NESTED} JOIN events USING (event_id, event_type)")
+def path_values(spark, sf):
+    """Values at paths into whole props: list places from either end, strict and lenient."""
+    e = _nested_props(spark, sf).withColumn("v", F.parse_json("said")).join(read(spark, sf, "events").select("event_id", "props"), "event_id")
+    at = lambda path, kind, **o: paths.column_at(e, path, kind, **o)
+    return e.select("event_id", at("v.payload.list[0]", "long").alias("first"), at("said.payload.list[1]", "long").alias("second"), at("v.payload.list[-1].at", "long").alias("last_at"), at("v.payload.kind", "string").alias("kind"), at("v.payload.none[3]", "long", strict=False).alias("absent"), at("props.k", "long").alias("k"))
+
+
+@query(f"SELECT event_id, p.pos::INT AS pos, CASE p.pos WHEN 0 THEN k::VARCHAR WHEN 1 THEN (k + 1)::VARCHAR ELSE '{{\"at\":' || event_id || '}}' END AS item FROM {NESTED}, (VALUES (0), (1), (2)) p(pos)")
+def path_items(spark, sf):
+    """The items of a list at a path, a row for each."""
+    return paths.items_at(_nested_props(spark, sf), "said.payload.list", keep=["event_id"]).select("event_id", "pos", F.to_json("item").alias("item"))
+
+
+_KEPT = """'{' || chr(10) || '  "payload": {' || chr(10) || '    "kind": ' || to_json(event_type) || ',' || chr(10) || '    "list": [' || chr(10) || '      ' || k || ',' || chr(10) || '      ' || (k + 1) || ',' || chr(10) || '      {' || chr(10) || '        "at": ' || event_id || chr(10) || '      }' || chr(10) || '    ],' || chr(10)
+|| '    "text": {' || chr(10) || '      "bytes": ' || strlen(to_json(event_type || k)) || ',' || chr(10) || '      "redacted": true,' || chr(10) || '      "sha256": "' || sha256(to_json(event_type || k)::VARCHAR) || '"' || chr(10) || '    }' || chr(10) || '  },' || chr(10) || '  "seen": [' || chr(10) || '    true,' || chr(10) || '    null' || chr(10) || '  ]' || chr(10) || '}'"""
+
+
+@query(f"SELECT event_id, {_KEPT} AS kept FROM {NESTED}")
+def redacted_props(spark, sf):
+    """Contents at any depth become digests; the rest stays, in canonical form."""
+    return redact.redact_json(_nested_props(spark, sf), "said", "kept").select("event_id", "kept")
+
+
+@query("""WITH l AS (SELECT page_id, unnest(string_split(h, chr(10))) AS line, generate_subscripts(string_split(h, chr(10)), 1) AS i FROM (SELECT page_id, regexp_replace(replace(replace(html, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n$', '') AS h FROM pages) WHERE h <> '')
+SELECT page_id, string_agg('{' || chr(10) || '  "bytes": ' || strlen(line) || ',' || chr(10) || '  "redacted": true,' || chr(10) || '  "sha256": "' || sha256(line) || '"' || chr(10) || '}', chr(10) ORDER BY i) || chr(10) AS kept FROM l GROUP BY page_id""")
+def redacted_page_lines(spark, sf):
+    """Whole pages as lines of which none is JSON: each becomes its digest and size."""
+    done = redact.redact_json(read(spark, sf, "pages").select("page_id", "html"), "html", "kept", lines=True)
+    return done.where("kept <> ''").select("page_id", "kept")
