@@ -1,162 +1,57 @@
-"""A bounded search for a better prompt: reflect on failures, gate what comes back, keep the Pareto front, and go on where it stopped.
+"""Better prompts from replies, as tables: proposals, gates and the front of a round are each a few joins; who asks the model is not said here.
 
-Only training examples reach the reflection. A candidate stays if it is one fenced block within the character budget, repeats no example, is as
-good as its parent on each example of the round, and not worse on validation. Scores are remembered by candidate and example.
+Tables: candidates (place, text), replies (place, parent, reply), scores (place, example_id, score); `place` numbers candidates in the order in which they came. A round is
+`proposals`, then the scores of what is left, then `gates`, and `front` over the candidates that passed. All of it can be stored by a cached run.
 """
 
 from __future__ import annotations
 
-import json
-import random
-import re
-from collections.abc import Callable
-from dataclasses import dataclass, field
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import digest
-from ..sources.store import Store
-
-STATE = "name string, version int, state string, created_at long"
-VERSION = 1
-
-
-@dataclass
-class Candidate:
-    text: str
-    parent: int | None = None
-    made: int = 0
-    train: dict[str, float] = field(default_factory=dict)
-    val: dict[str, float] = field(default_factory=dict)
-
-
-def mean(scores: dict[str, float], ids: list[str]) -> float:
-    return sum(scores[i] for i in ids) / len(ids)
-
-
-def fenced(reply: str) -> str | None:
-    """What stands between the first and the last fence line."""
-    marks = [m for m in re.finditer(r"(?m)^```[^\n]*$", reply)]
-    return reply[marks[0].end() : marks[-1].start()].strip() if len(marks) >= 2 else None
-
-
-def repeats_example(text: str, seed: str, samples: list[str], run: int) -> bool:
-    windows = {text[i : i + run] for i in range(len(text) - run + 1)}
-    return any(w in s for w in windows if w not in seed for s in samples)
-
-
-def front(candidates: list[Candidate], ids: list[str]) -> list[Candidate]:
-    """Candidates that no other one dominates: as good on all validation examples and better on one, or equal and shorter."""
-
-    def beats(a: Candidate, b: Candidate) -> bool:
-        pairs = [(a.val[i], b.val[i]) for i in ids]
-        return all(x >= y for x, y in pairs) and (any(x > y for x, y in pairs) or len(a.text) < len(b.text))
-
-    return [c for c in candidates if not any(beats(o, c) for o in candidates if o is not c)]
-
-
-class Evolution:
-    """score(text, examples) maps a DataFrame (example_id, ...) to (example_id, score, feedback). reflect(text, feedback, budget) gives a reply."""
-
-    def __init__(
-        self, template: str, train: DataFrame, val: DataFrame, score: Callable[[str, DataFrame], DataFrame], reflect: Callable[[str, str, int], str], *, rounds: int = 10, minibatch: int = 3,
-        max_chars: int | None = None, leak_run: int = 40, max_calls: int | None = None, seed: int = 0, store: Store | None = None, name: str = "evolution",
-    ) -> None:
-        if rounds < 0 or minibatch < 1 or leak_run < 1 or (max_calls is not None and max_calls < 0):
-            raise ValueError("rounds and max_calls must not be negative, minibatch and leak_run be positive")
-        self.template, self.train, self.val, self.score, self.reflect = template, train, val, score, reflect
-        self.rounds, self.minibatch, self.leak_run, self.max_calls, self.seed = rounds, minibatch, leak_run, max_calls, seed
-        self.budget = 2 * len(template) if max_chars is None else max_chars
-        self.train_rows, self.val_rows = ({r.example_id: r.asDict() for r in df.orderBy("example_id").collect()} for df in (train, val))  # examples are a declared list
-        if not self.train_rows or not self.val_rows:
-            raise ValueError("there must be training and validation examples")
-        self.train_ids, self.val_ids = list(self.train_rows), list(self.val_rows)
-        self.fingerprint = digest([template, self.train_rows, self.val_rows, minibatch, self.budget, leak_run, seed])
-        self.store, self.name = store, name
-        self.candidates, self.done, self.calls = [Candidate(template)], 0, 0
-        self.memo: dict[tuple[str, str], tuple[float, str]] = {}
-
-    def _load(self) -> None:
-        rows = self.store.read("evolution", STATE).where((F.col("name") == self.name) & (F.col("version") == VERSION)).orderBy(F.desc("created_at")).limit(1).collect() if self.store else []
-        state = json.loads(rows[0].state) if rows else {}
-        if state.get("fingerprint") == self.fingerprint:  # of another experiment: start anew
-            self.candidates = [Candidate(**c) for c in state["candidates"]]
-            self.done, self.calls = state["done"], state["calls"]
-            self.memo = {(a, b): (s, f) for a, b, s, f in state["memo"]}
-
-    def _save(self) -> None:
-        if self.store:
-            state = {"fingerprint": self.fingerprint, "candidates": [vars(c) for c in self.candidates], "done": self.done, "calls": self.calls, "memo": [[*k, *v] for k, v in self.memo.items()]}
-            self.store.append("evolution", self.store.spark.createDataFrame([(self.name, VERSION, json.dumps(state, ensure_ascii=False), self.done * 1_000_000 + self.calls)], STATE), self.store.next_run_id())
-
-    def _scored(self, text: str, side: DataFrame, ids: list[str]) -> dict[str, float] | None:
-        """Scores of a candidate on some examples, or None where the calls that are left don't suffice."""
-        which = digest(text)
-        new = [i for i in ids if (which, i) not in self.memo]
-        if self.max_calls is not None and self.calls + len(new) > self.max_calls:
-            return None
-        if new:
-            for r in self.score(text, side.where(F.col("example_id").isin(new))).collect():
-                self.memo[which, r.example_id] = (r.score, r.feedback)
-            self.calls += len(new)
-        return {i: self.memo[which, i][0] for i in ids}
-
-    def _parent(self, draw: float) -> int:
-        """Drawn by the number of validation examples on which a candidate is among the best."""
-        best = {i: max(c.val[i] for c in self.candidates) for i in self.val_ids}
-        weights = [sum(c.val[i] == best[i] for i in self.val_ids) for c in self.candidates]
-        at = draw * sum(weights)
-        for n, w in enumerate(weights):
-            at -= w
-            if at < 0:
-                return n
-        return len(weights) - 1
-
-    def _round(self, number: int, draw: float) -> bool:
-        """One round; False where calls ran out."""
-        n = self._parent(draw)
-        parent = self.candidates[n]
-        batch = [self.train_ids[(number * self.minibatch + k) % len(self.train_ids)] for k in range(self.minibatch)]
-        batch = list(dict.fromkeys(batch))
-        scores = self._scored(parent.text, self.train, batch)
-        if scores is None:
-            return False
-        parent.train |= scores
-        if all(s == 1.0 for s in scores.values()):
-            return True
-        feedback = "\n\n".join(f"{json.dumps(self.train_rows[i], ensure_ascii=False, sort_keys=True, default=str)}\n{scores[i]}: {self.memo[digest(parent.text), i][1]}" for i in sorted(batch, key=lambda i: (scores[i], i)))
-        text = fenced(self.reflect(parent.text, feedback, self.budget))
-        samples = [str(v) for rows in (self.train_rows, self.val_rows) for r in rows.values() for v in r.values() if isinstance(v, str)]
-        if text is None or len(text) > self.budget or repeats_example(text, self.template, samples, self.leak_run):
-            return True
-        mine = self._scored(text, self.train, batch)
-        if mine is None:
-            return False
-        if any(mine[i] < scores[i] for i in batch):
-            return True
-        full, val = self._scored(text, self.train, self.train_ids), self._scored(text, self.val, self.val_ids)
-        if full is None or val is None:
-            return False
-        if mean(val, self.val_ids) >= mean(parent.val, self.val_ids):
-            self.candidates.append(Candidate(text, n, number + 1, full, val))
-            self.candidates = front(self.candidates, self.val_ids)
-        return True
-
-    def run(self) -> dict:
-        """The winner's text and figures. Nothing is written but the state."""
-        self._load()
-        draws = random.Random(self.seed)
-        draws = [draws.random() for _ in range(self.rounds)]
-        seed = self.candidates[0]
-        if not seed.val and (val := self._scored(seed.text, self.val, self.val_ids)) is not None:
-            seed.val = val
-        self._save()
-        while self.candidates[0].val and self.done < self.rounds and self._round(self.done, draws[self.done]):
-            self.done += 1
-            self._save()
-        best = min((c for c in self.candidates if c.val), key=lambda c: (-mean(c.val, self.val_ids), len(c.text), c.made), default=self.candidates[0])
-        known = [i for i in self.train_ids if i in best.train]
-        train = sum(best.train[i] for i in known) / len(known) if known else None
-        val = mean(best.val, self.val_ids) if best.val else None
-        return {"text": best.text, "train_mean": train, "val_mean": val, "generalization_gap": train - val if None not in (train, val) else None, "rounds": self.done, "calls": self.calls, "candidates": len(self.candidates)}
+from ..functions.text import extract_fenced
+from .evals import leak_windows
+
+
+def proposals(replies: DataFrame, candidates: DataFrame, *, max_chars: int, examples: DataFrame | None = None, run: int = 40, seed: str | None = None) -> DataFrame:
+    """(place, parent, text, problem): the fenced block of each reply, and why it can't be tried: no block, too long, a text that is a candidate already, or
+    one that repeats `run` characters of an example (id, text) that the seed hasn't."""
+    made = replies.select("place", "parent", F.trim(extract_fenced(F.col("reply"))).alias("text"))
+    known = candidates.select("text").distinct().withColumn("__known", F.lit(True))
+    made = made.join(known, "text", "left")
+    if examples is not None:
+        leaks = leak_windows(made.select(F.col("place").alias("id"), "text"), examples, run, seed=seed).select(F.col("id").alias("place")).distinct()
+        made = made.join(leaks.withColumn("__leak", F.lit(True)), "place", "left")
+    else:
+        made = made.withColumn("__leak", F.lit(None).cast("boolean"))
+    empty = F.coalesce(F.col("text"), F.lit("")) == ""
+    problem = F.when(empty, "no block").when(F.length("text") > max_chars, "too long").when(F.col("__known"), "known").when(F.col("__leak"), "repeats an example")
+    return made.select("place", "parent", "text", problem.alias("problem"))
+
+
+def gates(children: DataFrame, train: DataFrame, val: DataFrame) -> DataFrame:
+    """(place, no_regression, mean_ok) of children (place, parent): as good as the parent on each training example that both have, and on
+    validation not worse by mean. A child without scores passes neither."""
+
+    def beside(scores: DataFrame) -> DataFrame:
+        mine = children.join(scores, "place").select("place", "parent", "example_id", F.col("score").alias("c"))
+        return mine.join(scores.select(F.col("place").alias("parent"), "example_id", F.col("score").alias("p")), ["parent", "example_id"])
+
+    kept = beside(train).groupBy("place").agg(F.bool_and(F.col("c") >= F.col("p")).alias("no_regression"))
+    means = beside(val).groupBy("place").agg((F.avg("c") >= F.avg("p")).alias("mean_ok"))
+    out = children.select("place").join(kept, "place", "left").join(means, "place", "left")
+    return out.select("place", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("no_regression", "mean_ok")))
+
+
+def front(candidates: DataFrame, val: DataFrame) -> DataFrame:
+    """The candidates that no other one dominates over all validation examples: as good on each and better on one, or equal on all and shorter, or equal
+    in that too and earlier. Each example's scores meet by its id, so pairs of candidates are counted up, not examples."""
+    held = val.join(candidates.select("place", F.length("text").alias("n")), "place")
+    a, b = held.alias("a"), held.alias("b")
+    both = a.join(b, (F.col("a.example_id") == F.col("b.example_id")) & (F.col("a.place") != F.col("b.place")))
+    pair = both.groupBy(F.col("a.place").alias("place"), F.col("b.place").alias("other")).agg(
+        F.bool_and(F.col("b.score") >= F.col("a.score")).alias("as_good"), F.bool_or(F.col("b.score") > F.col("a.score")).alias("better"),
+        F.first("a.n").alias("mine"), F.first("b.n").alias("theirs"),
+    )
+    ahead = F.col("better") | (F.col("theirs") < F.col("mine")) | ((F.col("theirs") == F.col("mine")) & (F.col("other") < F.col("place")))
+    return candidates.join(pair.where(F.col("as_good") & ahead).select("place").distinct(), "place", "left_anti")

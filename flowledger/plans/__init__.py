@@ -7,11 +7,3 @@ ORACLE: dict = {}
 for _module in (flagship, scalars, dataflow, evaluation, engine, cached):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
-
-# A query over all of its texts or rows takes the place of one over a part of them.
-for _full in [n for n in QUERIES if n.endswith(("_whole", "_all"))]:
-    _name = _full.removesuffix("_whole").removesuffix("_all")
-    if _name in QUERIES:
-        QUERIES[_name] = QUERIES.pop(_full)
-        if _full in ORACLE:
-            ORACLE[_name] = ORACLE.pop(_full)

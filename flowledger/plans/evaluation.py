@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import canon, paths, redact, text
-from ..operators import attempts, calls, evals, ordered
+from ..operators import attempts, calls, evals, evolve, ordered
 from ..sources import responders
 from .scalars import whole_sql
 from .tables import literal_rows, read
@@ -411,20 +411,15 @@ def gated_metric(spark, sf):
     return read(spark, sf, "labels").select("doc_id", j.alias("j")).select("doc_id", "j.score", F.array_join("j.tags", ",").alias("tags"))
 
 
-@query("SELECT doc_id, '## Answer' || chr(10) || chr(10) || '```' || chr(10) || substr(text, 1, 50) || chr(10) || '```' || chr(10) || 'Score 0 to 1.' AS prompt FROM documents")
+@query(whole_sql("SELECT doc_id, '## Answer' || chr(10) || chr(10) || '```' || chr(10) || substr(text, 1, 50) || chr(10) || '```' || chr(10) || 'Score 0 to 1.' AS prompt FROM documents"))
 def judge_prompts(spark, sf):
-    return _judge_prompts(spark, sf, F.substring("text", 1, 50))
+    return _judge_prompts(spark, sf, F.col("text"))
 
 
 def _judge_prompts(spark, sf, t):
     return read(spark, sf, "documents").select("doc_id", F.concat(text.inject(t, title="Answer"), F.lit("Score 0 to 1.")).alias("prompt"))
 
 
-@query(whole_sql(ORACLE["judge_prompts"]))
-def judge_prompts_whole(spark, sf):
-    return _judge_prompts(spark, sf, F.col("text"))
-
-
 @query(f"SELECT variant, count(*) FILTER (score < 0 OR score > 1) AS outside FROM ({TRIALS}) GROUP BY variant")
 def judgment_range(spark, sf):
     return _trials(spark, sf).groupBy("variant").agg(F.count_if((F.col("score") < 0) | (F.col("score") > 1)).alias("outside"))
@@ -463,10 +458,10 @@ def run_profile(spark, sf):
 @query(f"WITH m AS (SELECT variant, avg(score) AS s FROM ({TRIALS}) GROUP BY 1), p AS (SELECT s AS parent FROM m WHERE variant = 'incumbent') SELECT variant, s >= parent AS mean_ok, NOT EXISTS (SELECT 1 FROM (SELECT doc_id, avg(score) FILTER (variant = 'incumbent') AS a, avg(score) FILTER (variant = m.variant) AS b FROM ({TRIALS}) GROUP BY 1) WHERE b < a) AS no_regression FROM m, p")
 def evolve_round(spark, sf):
     """The gates of a candidate: no example gets worse, and the mean is not below the parent's."""
-    t = _trials(spark, sf).groupBy("variant", "doc_id").agg(F.avg("score").alias("s"))
-    parent = t.where("variant = 'incumbent'").select("doc_id", F.col("s").alias("p"))
-    g = t.join(parent, "doc_id").groupBy("variant").agg((F.avg("s") >= F.avg("p")).alias("mean_ok"), F.bool_and(F.col("s") >= F.col("p")).alias("no_regression"))
-    return g
+    place = F.when(F.col("variant") == "incumbent", 0).otherwise(1)
+    t = _trials(spark, sf).groupBy(place.alias("place"), F.col("doc_id").alias("example_id")).agg(F.avg("score").alias("score"))
+    children = literal_rows(spark, "place parent variant", [(0, 0, "incumbent"), (1, 0, "short")])
+    return evolve.gates(children.select("place", "parent"), t, t).join(children, "place").select("variant", "mean_ok", "no_regression")
 
 
 NESTED = """(SELECT event_id, k, event_type, '{"payload": {"list": [' || k || ', ' || (k + 1) || ', {"at": ' || event_id || '}], "kind": ' || to_json(event_type) || ', "text": ' || to_json(event_type || k) || '}, "seen": [true, null]}' AS said FROM (SELECT event_id, event_type, (props->>'$.k')::BIGINT AS k FROM events))"""

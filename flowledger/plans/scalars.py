@@ -23,6 +23,12 @@ def query(sql: str | None):
     return register
 
 
+def whole_sql(sql: str) -> str:
+    """A query's SQL on the whole texts: the column in place of its prefix, and a fence that outgrows the text where it was three backticks."""
+    mark = "repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))), 0))::INT)"
+    return re.sub(r"substr\(text, 1, \d+\)", "text", sql).replace("'```'", mark)
+
+
 NL = "chr(10)"
 CANON_DOC = f"""'{{' || {NL} || '  "doc_id": ' || doc_id || ',' || {NL} || '  "lang": ' || to_json(lang) || ',' || {NL} || '  "text": ' || to_json(text) || {NL} || '}}'"""
 
@@ -41,11 +47,11 @@ def sha_text(spark, sf):
     return read(spark, sf, "documents").select("doc_id", canon.sha(F.col("text")).alias("digest"))
 
 
-@query("""WITH d AS (SELECT doc_id, substr(text, 1, 200) || chr(10) || repeat('`', (doc_id % 7)::INT) || ' end' AS body FROM documents),
+@query(whole_sql("""WITH d AS (SELECT doc_id, substr(text, 1, 200) || chr(10) || repeat('`', (doc_id % 7)::INT) || ' end' AS body FROM documents),
 f AS (SELECT *, repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(body, '`+'), lambda x: length(x))), 0))::INT) AS mark FROM d)
-SELECT doc_id, '## Material' || chr(10) || chr(10) || mark || chr(10) || body || chr(10) || mark || chr(10) AS block FROM f""")
+SELECT doc_id, '## Material' || chr(10) || chr(10) || mark || chr(10) || body || chr(10) || mark || chr(10) AS block FROM f"""))
 def inject_docs(spark, sf):
-    return _inject_docs(spark, sf, F.substring("text", 1, 200))
+    return _inject_docs(spark, sf, F.col("text"))
 
 
 def _inject_docs(spark, sf, t):
@@ -74,10 +80,10 @@ def render_template(spark, sf):
     return read(spark, sf, "documents").select("doc_id", text.render_template(template, slots).alias("rendered"))
 
 
-@query("""SELECT doc_id, CASE WHEN v = '' THEN '' ELSE '## Part' || chr(10) || chr(10) || v || CASE WHEN ends_with(v, chr(10)) THEN '' ELSE chr(10) END END AS part
-FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN substr(text, 1, 100) ELSE substr(text, 1, 50) || chr(10) END AS v FROM documents)""")
+@query(whole_sql("""SELECT doc_id, CASE WHEN v = '' THEN '' ELSE '## Part' || chr(10) || chr(10) || v || CASE WHEN ends_with(v, chr(10)) THEN '' ELSE chr(10) END END AS part
+FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN substr(text, 1, 100) ELSE substr(text, 1, 50) || chr(10) END AS v FROM documents)"""))
 def section_docs(spark, sf):
-    return _section_docs(spark, sf, F.substring("text", 1, 100), F.substring("text", 1, 50))
+    return _section_docs(spark, sf, F.col("text"), F.col("text"))
 
 
 def _section_docs(spark, sf, one, two):
@@ -106,9 +112,9 @@ def clip_sentence(spark, sf):
     return _clip(spark, sf, "sentence")
 
 
-@query("SELECT conv_id, string_agg('- ' || replace(substr(text, 1, 80), chr(10), chr(10) || '  '), chr(10) ORDER BY turn) AS bullets FROM conversations GROUP BY conv_id")
+@query(whole_sql("SELECT conv_id, string_agg('- ' || replace(substr(text, 1, 80), chr(10), chr(10) || '  '), chr(10) ORDER BY turn) AS bullets FROM conversations GROUP BY conv_id"))
 def render_bullets(spark, sf):
-    return _render_bullets(spark, sf, F.substring("text", 1, 80))
+    return _render_bullets(spark, sf, F.col("text"))
 
 
 def _render_bullets(spark, sf, t):
@@ -191,12 +197,11 @@ PROMPTS = [("base", "any", "Summarise."), ("tone", "en", "Be brief."), ("tone",
 PROMPT_SQL = "(VALUES ('base', 'any', 'Summarise.'), ('tone', 'en', 'Be brief.'), ('tone', 'de', 'Kurz.'), ('tone', 'fr', 'Bref.'), ('tone', 'es', 'Breve.'))"
 
 
-@query(f"""WITH p(layer, variant, body) AS {PROMPT_SQL}, r AS (SELECT doc_id, lang, 'Summarise.' || chr(10) || body || chr(10) || '## Text' || chr(10) || chr(10) || '```' || chr(10) || substr(text, 1, 60) || chr(10) || '```' || chr(10) AS prompt
+@query(whole_sql(f"""WITH p(layer, variant, body) AS {PROMPT_SQL}, r AS (SELECT doc_id, lang, 'Summarise.' || chr(10) || body || chr(10) || '## Text' || chr(10) || chr(10) || '```' || chr(10) || substr(text, 1, 60) || chr(10) || '```' || chr(10) AS prompt
 FROM documents JOIN p ON layer = 'tone' AND variant = lang)
-SELECT doc_id, lang AS variant, prompt, sha256(prompt) AS prompt_sha, length(prompt)::INT AS chars FROM r""")
+SELECT doc_id, lang AS variant, prompt, sha256(prompt) AS prompt_sha, length(prompt)::INT AS chars FROM r"""))
 def prompt_resolution(spark, sf):
-    """Base, the layer variant that the language selects, and material."""
-    return _prompt_resolution(spark, sf, F.substring("text", 1, 60))
+    return _prompt_resolution(spark, sf, F.col("text"))
 
 
 def _prompt_resolution(spark, sf, t):
@@ -262,9 +267,9 @@ def pairwise_scores(spark, sf):
     return read(spark, sf, "labels").select("doc_id", F.element_at(scores, verdict).alias("score"))
 
 
-@query("""SELECT doc_id, replace(replace(replace(t, '&', '&amp;'), '"', '&quot;'), chr(10), '<br/>') AS label, CASE WHEN length(t) <= 40 THEN t ELSE substr(t, 1, 37) || '...' END AS short_label FROM (SELECT doc_id, lang || ' & "' || source || '"' || chr(10) || substr(text, 1, 60) AS t FROM documents)""")
+@query(whole_sql("""SELECT doc_id, replace(replace(replace(t, '&', '&amp;'), '"', '&quot;'), chr(10), '<br/>') AS label, CASE WHEN length(t) <= 40 THEN t ELSE substr(t, 1, 37) || '...' END AS short_label FROM (SELECT doc_id, lang || ' & "' || source || '"' || chr(10) || substr(text, 1, 60) AS t FROM documents)"""))
 def mermaid_labels(spark, sf):
-    return _mermaid_labels(spark, sf, F.substring("text", 1, 60))
+    return _mermaid_labels(spark, sf, F.col("text"))
 
 
 def _mermaid_labels(spark, sf, body):
@@ -277,11 +282,10 @@ def mermaid_ids(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", text.mermaid_id(F.col("c_name")).alias("node_id"))
 
 
-@query("""WITH m AS (SELECT conv_id, list({'role': role, 'text': substr(text, 1, 40)} ORDER BY turn) AS msgs, any_value(role) FILTER (turn = 0) AS first_role FROM conversations GROUP BY conv_id)
-SELECT conv_id, first_role IS NOT DISTINCT FROM 'system' AS conflict, CASE WHEN first_role IS NOT DISTINCT FROM 'system' THEN NULL ELSE 'system:Answer.' || chr(10) || array_to_string(list_transform(msgs, lambda x: x.role || ':' || x.text), chr(10)) END AS wire, '{"type":"json_object"}' AS response_format FROM m""")
+@query(whole_sql("""WITH m AS (SELECT conv_id, list({'role': role, 'text': substr(text, 1, 40)} ORDER BY turn) AS msgs, any_value(role) FILTER (turn = 0) AS first_role FROM conversations GROUP BY conv_id)
+SELECT conv_id, first_role IS NOT DISTINCT FROM 'system' AS conflict, CASE WHEN first_role IS NOT DISTINCT FROM 'system' THEN NULL ELSE 'system:Answer.' || chr(10) || array_to_string(list_transform(msgs, lambda x: x.role || ':' || x.text), chr(10)) END AS wire, '{"type":"json_object"}' AS response_format FROM m"""))
 def normalize_messages(spark, sf):
-    """A `system` parameter becomes the first message, json_mode a response format; an existing system message is a conflict."""
-    return _normalize_messages(spark, sf, F.substring("text", 1, 40))
+    return _normalize_messages(spark, sf, F.col("text"))
 
 
 def _normalize_messages(spark, sf, t):
@@ -310,52 +314,11 @@ def usage_normalize(spark, sf):
     return one.groupBy("user_id").agg(F.sum("i").alias("input_tokens"), F.sum("o").alias("output_tokens"), F.sum(F.col("i") + F.col("o")).alias("total_tokens"))
 
 
-@query("SELECT doc_id, 'data:text/plain;base64,' || to_base64(encode(substr(text, 1, 300))) AS data_url, sha256(substr(text, 1, 300)) AS digest FROM documents")
+@query(whole_sql("SELECT doc_id, 'data:text/plain;base64,' || to_base64(encode(substr(text, 1, 300))) AS data_url, sha256(substr(text, 1, 300)) AS digest FROM documents"))
 def attachment_data_url(spark, sf):
-    return _attachment_data_url(spark, sf, F.substring("text", 1, 300))
+    return _attachment_data_url(spark, sf, F.col("text"))
 
 
 def _attachment_data_url(spark, sf, t):
     content = t.cast("binary")
     return read(spark, sf, "documents").select("doc_id", F.concat(F.lit("data:text/plain;base64,"), F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))).alias("data_url"), F.sha2(content, 256).alias("digest"))
-
-
-def whole_sql(sql: str) -> str:
-    """A query's SQL on the whole texts: the column in place of its prefix, and a fence that outgrows the text where it was three backticks."""
-    mark = "repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))), 0))::INT)"
-    return re.sub(r"substr\(text, 1, \d+\)", "text", sql).replace("'```'", mark)
-
-
-@query(whole_sql(ORACLE["inject_docs"]))
-def inject_docs_whole(spark, sf):
-    return _inject_docs(spark, sf, F.col("text"))
-
-
-@query(whole_sql(ORACLE["section_docs"]))
-def section_docs_whole(spark, sf):
-    return _section_docs(spark, sf, F.col("text"), F.col("text"))
-
-
-@query(whole_sql(ORACLE["render_bullets"]))
-def render_bullets_whole(spark, sf):
-    return _render_bullets(spark, sf, F.col("text"))
-
-
-@query(whole_sql(ORACLE["prompt_resolution"]))
-def prompt_resolution_whole(spark, sf):
-    return _prompt_resolution(spark, sf, F.col("text"))
-
-
-@query(whole_sql(ORACLE["mermaid_labels"]))
-def mermaid_labels_whole(spark, sf):
-    return _mermaid_labels(spark, sf, F.col("text"))
-
-
-@query(whole_sql(ORACLE["normalize_messages"]))
-def normalize_messages_whole(spark, sf):
-    return _normalize_messages(spark, sf, F.col("text"))
-
-
-@query(whole_sql(ORACLE["attachment_data_url"]))
-def attachment_data_url_whole(spark, sf):
-    return _attachment_data_url(spark, sf, F.col("text"))

@@ -2,7 +2,6 @@
 
 import json
 import textwrap
-from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -215,30 +214,22 @@ def test_evaluation_and_bench_rules(spark):
         spark.range(1).select(evals.checked_score(F.lit(1.5))).collect()
 
 
-def scored(text, df):
-    return df.select("example_id", F.when(F.lit(text).contains(F.col("need")), 1.0).otherwise(0.0).alias("score"), F.concat(F.lit("needs "), "need").alias("feedback"))
-
-
-def test_evolution_improves_and_resumes(spark, tmp_path):
-    rows = lambda p: spark.createDataFrame([(f"{p}{i}", w) for i, w in enumerate(["brief", "polite"])], "example_id string, need string")
-    log = []
-
-    def reflect(text, feedback, budget):
-        log.append(feedback)
-        word = "brief" if "brief" not in text else "polite"
-        return f"Try:\n```\n{text} Be {word}.\n```\n"
-
-    store = Store(spark, str(tmp_path))
-    make = partial(evolve.Evolution, "Answer the question.", rows("t"), rows("v"), scored, reflect, minibatch=2, max_chars=80, store=store)
-    first = make(rounds=1).run()
-    assert first["rounds"] == 1 and first["val_mean"] == 0.5 and "needs brief" in log[0] and "v0" not in log[0]
-    done = make(rounds=4).run()
-    assert done["text"] == "Answer the question. Be brief. Be polite." and done["val_mean"] == 1.0 and done["generalization_gap"] == 0.0 and len(log) == 2
-    assert evolve.Evolution("Answer the question.", rows("t"), rows("v"), scored, reflect, rounds=4, minibatch=2, max_calls=2).run()["calls"] == 2
-    leak = evolve.Evolution("x" * 60, rows("t"), rows("v"), scored, lambda *_: "```\nbrief polite\n```", rounds=1, minibatch=2, leak_run=5).run()
-    assert leak["candidates"] == 1 and evolve.fenced("no fence") is None
-    with pytest.raises(ValueError):
-        evolve.Evolution("x", rows("t"), rows("v").limit(0), scored, reflect)
+def test_a_round_of_evolution(spark):
+    candidates = spark.createDataFrame([(0, "Answer the question."), (1, "Answer.")], "place int, text string")
+    fence = lambda t: f"Try:\n```\n{t}\n```\n"
+    replies = spark.createDataFrame([(2, 0, fence("Answer briefly.")), (3, 0, "no fence"), (4, 1, fence("x" * 90)), (5, 1, fence("Answer.")), (6, 0, fence("Say the secret example text now.")), (7, 0, None)], "place int, parent int, reply string")
+    examples = spark.createDataFrame([("e", "the secret example text")], "id string, text string")
+    got = {r.place: (r.text, r.problem) for r in evolve.proposals(replies, candidates, max_chars=80, examples=examples, run=12).collect()}
+    assert got[2] == ("Answer briefly.", None) and [got[k][1] for k in (3, 4, 5, 6, 7)] == ["no block", "too long", "known", "repeats an example", "no block"]
+    scores = lambda rows: spark.createDataFrame(rows, "place int, example_id string, score double")
+    children = spark.createDataFrame([(2, 0), (8, 0), (9, 1), (10, 1)], "place int, parent int")
+    train = scores([(0, "a", 0.5), (0, "b", 1.0), (2, "a", 1.0), (2, "b", 1.0), (8, "a", 1.0), (8, "b", 0.5), (1, "a", 0.0), (9, "a", 0.0)])
+    val = scores([(0, "v", 0.5), (2, "v", 0.5), (8, "v", 1.0), (1, "v", 0.6), (9, "v", 0.5)])
+    assert {r.place: (r.no_regression, r.mean_ok) for r in evolve.gates(children, train, val).collect()} == {2: (True, True), 8: (False, True), 9: (True, False), 10: (False, False)}
+    some = spark.createDataFrame([(0, "long text"), (1, "short"), (2, "other"), (3, "worst"), (4, "twin!")], "place int, text string")
+    seen = scores([(p, e, s) for p, two in ((0, (1.0, 0.0)), (1, (1.0, 0.0)), (2, (0.0, 1.0)), (3, (0.0, 0.0)), (4, (1.0, 0.0))) for e, s in zip("xy", two, strict=True)])
+    assert sorted(r.place for r in evolve.front(some, seen).collect()) == [1, 2]
+    assert evolve.front(some.limit(0), seen).count() == 0
 
 
 def test_agents_sessions_limits_and_capsules(spark, tmp_path):
