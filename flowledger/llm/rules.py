@@ -5,7 +5,8 @@ stratum and rule the grid is walked from the mildest cutoff to the strictest, an
 binomial test refutes "more than `risk / rules` of good texts are rejected" at level `delta / (strata * rules)`. The walk
 stops at the first cutoff that fails (fixed-sequence testing), so no further correction is due along the grid; over strata
 and rules the correction is Bonferroni's. With probability 1 - delta no stratum loses more than `risk` of its good texts.
-A stratum with too few labels gets no cutoff and loses nothing.
+A stratum with too few labels gets no cutoff and loses nothing. A trial is a distinct text of a stratum (or another unit): copies of
+a labelled text, and rows that repeat its id, are one trial, which a cutoff rejects if it rejects any of them.
 
 Nulls: a null text has no words and fails the base rules; a null stratum is a stratum of its own; labels without a
 quality or a document are left out; of several labels of a document the highest quality counts. Repeated rows are
@@ -109,16 +110,16 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(top) * total)
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, *, key: str = "doc_id", stratum: str = "lang", risk: float = RISK, delta: float = DELTA, rules=RULES) -> DataFrame:
-    """(stratum, rule, cutoff, n, false_rejections, p): the accepted cutoffs, one row for each stratum and rule at most."""
+def cutoffs(measured: DataFrame, labels: DataFrame, *, key: str = "doc_id", stratum: str = "lang", unit: str | None = None, risk: float = RISK, delta: float = DELTA, rules=RULES) -> DataFrame:
+    """(stratum, rule, cutoff, n, false_rejections, p): the accepted cutoffs, one row for each stratum and rule at most. unit: the column that tells
+    what is one trial, such as a hash of the text; the key by default."""
     good = labels.where(F.col("quality").isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max("quality").alias("__q")).where("__q = 1")
     held = measured.where(~F.col("base_failed")).join(good, F.col(f"`{key}`") == F.col("__key"), "left_semi")
     share = risk / len(rules)
-    marks = F.array(*(
-        F.struct(F.lit(name).alias("rule"), F.lit(step).alias("step"), F.lit(cut).alias("cutoff"), (1000 * F.col(num) > cut * F.col(den)).alias("hit"))
-        for name, num, den, cuts in rules for step, cut in enumerate(cuts)
-    ))
-    tested = held.select(F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("")).alias("stratum"), F.explode(marks).alias("m"))
+    grid = [(name, step, cut, 1000 * F.col(num) > cut * F.col(den)) for name, num, den, cuts in rules for step, cut in enumerate(cuts)]
+    trials = held.groupBy(F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("")).alias("stratum"), F.col(f"`{unit or key}`").alias("__unit")).agg(*(F.bool_or(hit).alias(f"__h{i}") for i, (*_, hit) in enumerate(grid)))
+    marks = F.array(*(F.struct(F.lit(name).alias("rule"), F.lit(step).alias("step"), F.lit(cut).alias("cutoff"), F.col(f"__h{i}").alias("hit")) for i, (name, step, cut, _) in enumerate(grid)))
+    tested = trials.select("stratum", F.explode(marks).alias("m"))
     tested = tested.groupBy("stratum", "m.rule", "m.step", "m.cutoff").agg(F.count(F.lit(1)).alias("n"), F.count_if("m.hit").alias("k"))
     strata = measured.select(F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("")).alias("s")).agg(F.count_distinct("s").alias("strata"))
     tested = tested.crossJoin(F.broadcast(strata)).withColumn("p", binomial_tail(F.col("k"), F.col("n"), share))
@@ -141,10 +142,16 @@ def judge(measured: DataFrame, chosen: DataFrame, *, stratum: str = "lang", rule
 
 def quality_rules(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", stratum: str = "lang", **params) -> DataFrame:
     """For each row of docs its key, stratum, FEATURES, base_failed and kept. The counts are made once, and kept in the shared folder."""
-    narrow = docs.select(*dict.fromkeys([key, stratum]), text)
+    narrow = docs.select(*dict.fromkeys([key, stratum]), text, text_unit(F.col(f"`{text}`")).alias("__text"))
     measured = materialise(with_features(narrow, text))
-    chosen = cutoffs(measured, labels, key=key, stratum=stratum, **params)
-    return judge(measured, chosen, stratum=stratum, rules=params.get("rules", RULES))
+    chosen = cutoffs(measured, labels, key=key, stratum=stratum, unit="__text", **params)
+    return judge(measured, chosen, stratum=stratum, rules=params.get("rules", RULES)).drop("__text")
+
+
+def text_unit(text: Column) -> Column:
+    """What is equal for equal texts: two hashes and the length."""
+    t = F.coalesce(text, F.lit(""))
+    return F.struct(F.xxhash64(t).alias("a"), F.crc32(t.cast("binary")).alias("b"), F.length(t).alias("n"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
@@ -168,7 +175,7 @@ r AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM g WHERE
 cov AS (SELECT rid, count(DISTINCT i + o) AS n_repeat_words FROM r, (VALUES (0), (1), (2)) v(o) WHERE n >= 2 GROUP BY rid),
 ln AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
-f AS (SELECT d.rid, d.doc_id, d.lang, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS n_words,
+f AS (SELECT d.rid, d.doc_id, d.lang, d.t, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS n_words,
   length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, length(t) - length(replace(t, '!', '')) AS n_exclaims,
   length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
@@ -177,7 +184,8 @@ m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 rules AS ({stops}),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1),
 held AS (SELECT * FROM m WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
-tested AS (SELECT lang, rule, step, cutoff, count(*) AS n, count(*) FILTER (1000 * ({pick(1)}) > cutoff * ({pick(2)})) AS k FROM held, rules GROUP BY ALL),
+trials AS (SELECT lang, t, rule, step, cutoff, bool_or(1000 * ({pick(1)}) > cutoff * ({pick(2)})) AS hit FROM held, rules GROUP BY ALL),
+tested AS (SELECT lang, rule, step, cutoff, count(*) AS n, count(*) FILTER (hit) AS k FROM trials GROUP BY ALL),
 p AS (SELECT *, CASE WHEN k >= n * {share} THEN 1 ELSE list_sum(list_transform(range(k + 1),
   lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share})))) END AS p FROM tested),
 stop AS (SELECT lang, rule, min(step) FILTER (p > {DELTA} / ((SELECT count(DISTINCT lang) FROM m) * {len(RULES)})) AS stop FROM p GROUP BY ALL),

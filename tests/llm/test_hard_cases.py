@@ -158,3 +158,37 @@ def test_query_functions_give_their_contracts(spark, duck):
     assert states == {"response", "resolved", "mismatch", "unresolved"}
     for name in ("op8_revisits", "op9_url_filter", "op10_license_scan"):
         same(registry.QUERIES[name](spark, DATA), duck, registry.ORACLE[name])
+
+
+def test_long_html_and_links_with_entities_and_dots(spark):
+    import time
+
+    began = time.time()
+    junk = [(k, f"http://j{k}.com/", "<link " * 170_000 if k == 0 else "<meta http-equiv=" + " " * 1_000_000 if k == 1 else "<link rel=canonical href=" + " " * 500_000) for k in range(3)]
+    pages = [
+        (10, "http://a.com/en/1", None), (11, "http://b.org/x/../y?p=1&q=2", '<link href="http://x.com/en/z/./1" rel="canonical">'),
+        (12, "http://c.net/s/t", '<LINK data-a="b" rel=canonical href="http://b.org/y?p=1&amp;q=2">'), (13, "http://d.net/", "<meta http-equiv=refresh content='0; url=../../s/../s/t'>"),
+        (14, "http://x.com/en/z/1", None), (15, "http://b.org/y?p=1", None), (16, "http://c.net/q", "<p>rel=canonical href=http://x.com/en/z/1</p><link rel=next href=/en><link rel=canonical href='/s/t'>"),
+    ]
+    rules = (("block", "com/en/"),)
+    df = spark.createDataFrame(junk + pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urlfilter.url_filter(df, rules).collect()}
+    assert got == {0: "allow", 1: "allow", 2: "allow", 10: "block", 11: "block", 12: "block", 13: "allow", 14: "block", 15: "allow", 16: "block"}
+    assert time.time() - began < 90
+    shown = {r.u: r.n for r in spark.createDataFrame([(u,) for u in ("h://H/a/b/../c", "h://h/..", "h://h/a/./", "h://h/a/..", "h://h/a..b/.c?x=..", "h://h")], "u string").select("u", urlfilter.node_of(F.col("u")).alias("n")).collect()}
+    assert shown == {"h://H/a/b/../c": "h/a/c", "h://h/..": "h/", "h://h/a/./": "h/a/", "h://h/a/..": "h/", "h://h/a..b/.c?x=..": "h/a..b/.c?x=..", "h://h": "h"}
+
+
+def test_repeated_labelled_texts_are_one_trial(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    ten = [(k, words(k), "en") for k in range(10)]
+    labels = spark.createDataFrame([(k, 1) for k in range(10_000)], "doc_id long, quality int")
+    schema = "doc_id long, text string, lang string"
+
+    def certified(rows):
+        docs = spark.createDataFrame(rows, schema).withColumn("__text", rules.text_unit(F.col("text")))
+        return rules.cutoffs(rules.with_features(docs), labels, unit="__text").collect()
+
+    assert certified(ten) == [] == certified(ten * 300) == certified([(k % 3000, words(k % 10), "en") for k in range(3000)])
+    many = certified([(k, words(k), "en") for k in range(3000)])
+    assert {r.rule for r in many} == {"symbols", "exclaims", "capitals", "dup_lines", "repeats"} and {r.n for r in many} == {3000}
