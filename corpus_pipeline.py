@@ -18,7 +18,7 @@ def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     The verdicts are joined back by document and text, so that rows that share an id are judged one by one."""
     marked = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("__text"))
     measured = materialise(rules.with_features(marked))
-    judged = rules.judge(measured, rules.cutoffs(measured, table(spark, sf_dir, "labels")))
+    judged = rules.judge(measured, rules.cutoffs(measured, table(spark, sf_dir, "labels"), unit="__text"))
     rejected = judged.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("__text").alias("__hash"), F.col("lang").alias("__lang")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")) & F.col("lang").eqNullSafe(F.col("__lang"))
     return docs.join(rejected, same, "left_anti").select(*COLUMNS)
