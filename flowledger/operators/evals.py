@@ -152,20 +152,18 @@ def leak_windows(texts: DataFrame, samples: DataFrame, run: int, seed: str | Non
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))], names=["key", "anchor"])
 
     def marked(df: DataFrame, name: str) -> DataFrame:
-        return df.select("text_sha", "text").mapInArrow(anchored, "key string, anchor long").withColumnRenamed("key", name)
+        return df.select("text_hash", "text").mapInArrow(anchored, "key long, anchor long").withColumnRenamed("key", name)
 
     def keyed(df: DataFrame) -> DataFrame:
-        return df.where(F.length("text") >= run).select("id", "text", sha(F.col("text")).alias("text_sha"))
+        return df.where(F.length("text") >= run).select("id", "text", F.xxhash64("text").alias("text_hash"))  # texts that share it are all compared
 
     def compared(batches):
         for batch in batches:
             ok = [share_window(a, b, run, allowed) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["t", "s"]).filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["id", "sample_id"]).filter(pa.array(ok, pa.bool_()))
 
     mine, theirs = keyed(texts), keyed(samples)
     pairs = marked(mine, "t").join(marked(theirs, "s").distinct(), "anchor").select("t", "s").distinct()
-    one = lambda df, name, text: df.join(pairs.select(F.col(name).alias("text_sha")).distinct(), "text_sha", "left_semi").groupBy(F.col("text_sha").alias(name)).agg(F.first("text").alias(text))  # noqa: E731 - equal texts are compared once
-    met = pairs.join(one(theirs, "s", "b"), "s").join(one(mine, "t", "a"), "t")
-    leaks = met.select("t", "s", "a", "b").mapInArrow(compared, "t string, s string")
-    found = leaks.join(mine.select(F.col("text_sha").alias("t"), "id"), "t").join(theirs.select(F.col("text_sha").alias("s"), F.col("id").alias("sample_id")), "s")
-    return found.select("id", "sample_id").distinct()
+    met = pairs.join(mine.select(F.col("text_hash").alias("t"), F.col("text").alias("a"), "id"), "t").join(theirs.select(F.col("text_hash").alias("s"), F.col("text").alias("b"), F.col("id").alias("sample_id")), "s")
+    met = met.select("id", "sample_id", "a", "b")
+    return met.mapInArrow(compared, met.select("id", "sample_id").schema).distinct()
