@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..functions import canon, text
+from ..functions import canon, failures, text
 from ..functions.urls import SECRET_ENDS, SECRET_KEYS, scrub_url, scrub_urls_in
 from .tables import literal_rows, read
 
@@ -231,19 +231,6 @@ def retry_schedule(spark, sf):
 
 STATUS_SQL = "CASE event_id % 9 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 401 WHEN 3 THEN 403 WHEN 4 THEN 418 END"
 CODE_SQL = "CASE event_id % 9 WHEN 5 THEN 'Rate_Limited' WHEN 6 THEN 'timeout' WHEN 7 THEN 'odd' END"
-#: Typed provider codes and what they mean.
-CODES = {"rate_limit": "rate_limit", "rate_limited": "rate_limit", "too_many_requests": "rate_limit", "server_error": "server_error", "internal_server_error": "server_error", "timeout": "timeout"}
-
-
-def failure_kind(status, code):
-    """Kind of a provider failure by status, then by typed code; never by prose."""
-    named = F.element_at(F.create_map(*(F.lit(x) for kv in CODES.items() for x in kv)), F.lower(code))
-    return (
-        F.when(status == 429, "rate_limit").when(status.between(500, 599), "server_error").when(status == 401, "authentication").when(status == 403, "authorization")
-        .when(status.between(400, 499), "invalid_request").otherwise(F.coalesce(F.when(code.isNotNull(), named), F.lit("unknown")))
-    )
-
-
 def status_of():
     return F.expr(STATUS_SQL)
 
@@ -251,7 +238,7 @@ def status_of():
 @query(f"""SELECT event_id, CASE WHEN s = 429 THEN 'rate_limit' WHEN s BETWEEN 500 AND 599 THEN 'server_error' WHEN s = 401 THEN 'authentication' WHEN s = 403 THEN 'authorization' WHEN s BETWEEN 400 AND 499 THEN 'invalid_request'
 WHEN lower(c) IN ('rate_limit', 'rate_limited', 'too_many_requests') THEN 'rate_limit' WHEN lower(c) = 'timeout' THEN 'timeout' ELSE 'unknown' END AS kind FROM (SELECT event_id, {STATUS_SQL} AS s, {CODE_SQL} AS c FROM events)""")
 def failure_kinds(spark, sf):
-    return read(spark, sf, "events").select("event_id", failure_kind(status_of(), F.expr(CODE_SQL)).alias("kind"))
+    return read(spark, sf, "events").select("event_id", failures.kind(status_of(), F.expr(CODE_SQL)).alias("kind"))
 
 
 @query("""SELECT event_id, sha256('{' || chr(10) || '  "kind": ' || to_json(event_type) || ',' || chr(10) || '  "message_digest": "' || sha256(props) || '"' || chr(10) || '}') AS failure FROM events""")
