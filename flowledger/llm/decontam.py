@@ -7,6 +7,12 @@ window (minima of small blocks serve the larger classes) and over an item; one e
 passage with the asked containment is missed with a chance below 2e-6. A candidate is verified exactly: the share of the
 item's shingles that are in the document's whole set must be `percent` or more.
 
+An item may also lie in small bits all over a document: each shared shingle is in some window, which with the item has at
+most 5 times the item's shingles, so that each function finds the item with a chance of 0.8 / 5 or more wherever the bits
+are, and all of them miss it with a chance below 1.5e-5. `exact=True` adds a search that misses nothing: a document with
+n_shared of an item's n shingles lacks n - n_shared of them, so it has one of any n - n_shared + 1. Those that the fewest
+items have are looked up in all documents, and what has one is verified as the others are.
+
 Items are searched in blocks of at most BLOCK shingles, each broadcast (8 bytes a shingle and hash), so that a larger
 benchmark means more passes over the documents and never a larger broadcast.
 
@@ -35,10 +41,11 @@ PLUS = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
 
 
 class Index:
-    """Items by size class: which item has a minimum."""
+    """Items by size class: which item has a minimum; and which has a shingle that few items have."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]) -> None:
+    def __init__(self, items: list[tuple[int, np.ndarray]], percent: int = PERCENT, exact: bool = False) -> None:
         self.items = items
+        self.rare = self._rare(percent) if exact else None
         self.classes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.maybe = np.zeros(1 << 20, bool)
         by: dict[int, list[int]] = {}
@@ -50,6 +57,25 @@ class Index:
             self.classes[bits] = (least[order], np.repeat(members, HASHES)[order])
             self.maybe[(least >> np.uint64(44)).astype(np.int64)] = True
 
+    def _rare(self, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which leading bits occur, shingles in order, their items): of each item as many as no document with the asked share can lack."""
+        pool, held_by = np.unique(np.concatenate([s for _, s in self.items]), return_counts=True)
+        least = []
+        for _, s in self.items:
+            n = len(s) - -(-percent * len(s) // 100) + 1
+            least.append(s[np.argsort(held_by[np.searchsorted(pool, s)], kind="stable")[:n]])
+        known, of = np.concatenate(least), np.repeat(np.arange(len(least)), [len(x) for x in least])
+        order, maybe = np.argsort(known, kind="stable"), np.zeros(1 << 20, bool)
+        maybe[(known >> np.uint64(44)).astype(np.int64)] = True
+        return maybe, known[order], of[order]
+
+    def lacking_few(self, run: np.ndarray) -> set[int]:
+        """Items of which the document has a shingle that few items have."""
+        maybe, known, of = self.rare
+        hit = np.unique(run[maybe[(run >> np.uint64(44)).astype(np.int64)]])
+        at, to = np.searchsorted(known, hit), np.searchsorted(known, hit, "right")
+        return {i for a, b in zip(at[at < to].tolist(), to[at < to].tolist(), strict=True) for i in of[a:b].tolist()}
+
     def candidates(self, run: np.ndarray) -> set[int]:
         """Items that share a minimum with a window of the document's shingles, in order."""
         low = min(self.classes)
@@ -81,7 +107,7 @@ class Index:
     def leaks(self, run: np.ndarray, percent: int):
         """(item id, its shingles, shared) of verified items."""
         held = None
-        for i in sorted(self.candidates(run)):
+        for i in sorted(self.candidates(run) | (self.lacking_few(run) if self.rare else set())):
             held = np.unique(run) if held is None else held
             name, s = self.items[i]
             at = np.minimum(np.searchsorted(held, s), len(held) - 1)
@@ -100,7 +126,7 @@ def item_sets(bench: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "item_id long, n long, shingles binary").where("n > 0")
 
 
-def leaks(docs: DataFrame, bench: DataFrame, *, k: int = K, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def leaks(docs: DataFrame, bench: DataFrame, *, k: int = K, percent: int = PERCENT, block: int = BLOCK, exact: bool = False) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment) of all documents and items with the asked containment."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -115,7 +141,7 @@ def leaks(docs: DataFrame, bench: DataFrame, *, k: int = K, percent: int = PERCE
         held = spark.sparkContext.broadcast([(r.item_id, bytes(r.shingles)) for r in part.collect()])  # about `block` shingles
         if not held.value:
             continue
-        found = rows.mapInArrow(_search(held, k, percent), schema)
+        found = rows.mapInArrow(_search(held, k, percent, exact), schema)
         if blocks > 1:
             found = materialise(found)
             held.destroy()
@@ -123,9 +149,9 @@ def leaks(docs: DataFrame, bench: DataFrame, *, k: int = K, percent: int = PERCE
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
-def _search(held, k: int, percent: int):
+def _search(held, k: int, percent: int, exact: bool):
     def run(batches):
-        index = Index([(i, np.frombuffer(s, np.uint64)) for i, s in held.value])
+        index = Index([(i, np.frombuffer(s, np.uint64)) for i, s in held.value], percent, exact)
         for batch in batches:
             ids, found = batch.column(0), []
             for at, run in enumerate(shingles(batch.column(1), k, NOT_ALNUM)):

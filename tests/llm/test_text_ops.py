@@ -172,6 +172,41 @@ def test_decontamination_equals_brute_force(spark):
         assert got == want and len(want) > 20
 
 
+def test_items_in_bits_all_over_a_document_are_found(spark):
+    r = random.Random(8)
+    items = [(i, " ".join(words(400, 7000 + i, 10**6))) for i in range(30)]
+    docs = []
+    for i, t in items:
+        body, out = t.split(" "), []
+        for n, a in enumerate(r.sample(range(0, 400, 25), 16)):  # bits of 25 words in any order, far from each other
+            out += [*words(3000, 100_000 + 100 * i + n, 10**6), *body[a : a + 25]]
+        docs.append((i, " ".join(out)))
+    docs += [(100 + i, " ".join(t.split(" ")[:300])) for i, t in items]  # three quarters: not enough
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = contained(docs, items)
+    assert len(want) == 30
+    found = lambda **o: Counter((x.doc_id, x.item_id, x.n_item, x.n_shared) for x in decontam.leaks(d, b, **o).collect())
+    assert found(exact=True) == found(exact=True, block=3000) == want
+    assert found() == want  # windows alone
+
+
+def test_exact_search_finds_what_windows_do_not(spark, monkeypatch):
+    """Without windows, the looked-up shingles alone give all that brute force does, also where items share most of theirs."""
+    common = words(60, 1, 10**6)
+    items = [(i, " ".join([*common, *words(20, 40 + i, 10**6)])) for i in range(8)] + [(50, "a b c"), (51, None), (52, " ".join(common))]
+    docs = [(i, " ".join([*words(500, 90 + i, 10**6), *(t or "").split(" ")[: 80 if i % 2 else 62]])) for i, t in items] + [(90, None), (91, ""), (92, "A, b: c")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    index = decontam.Index([(r.item_id, decontam.np.frombuffer(r.shingles, decontam.np.uint64)) for r in decontam.item_sets(b, 5).collect()], exact=True)
+    monkeypatch.setattr(index, "candidates", lambda run: set())
+    got = Counter()
+    for doc_id, run in zip([i for i, _ in docs], decontam.shingles(decontam.pa.array([t for _, t in docs]), 5, decontam.NOT_ALNUM), strict=True):
+        if len(run):
+            got.update((doc_id, *hit) for hit in index.leaks(run, 80))
+    want = contained(docs, items)
+    assert got == want and len(want) > 10
+    assert Counter((x.doc_id, x.item_id, x.n_item, x.n_shared) for x in decontam.leaks(d, b, exact=True).collect()) == want
+
+
 def test_license_spans(spark):
     text = "x y Licensed under the Apache License, Version 2.0. z"
     twice = "Released under the new MIT License. " * 2 + "CC-BY, all rights reserved"
