@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import canon, failures
-from ..operators import admission, audit, prompts
+from ..operators import admission, audit, declared, prompts
 from .tables import read
 
 QUERIES, ORACLE = {}, {}
@@ -147,3 +147,76 @@ def requests_over_limits(spark, sf):
     messages = read(spark, sf, "conversations").select(F.col("conv_id").alias("request_id"), "text")
     files = read(spark, sf, "documents").select(F.expr("doc_id div 4").alias("request_id"), F.octet_length("text").alias("size_bytes"))
     return prompts.over_limits(messages, files, prompts.Limits(150, 3, 4000))
+
+
+SUMMARY = declared.Prompt(
+    "summary", "summary/base", {"task": "summary/task", "tone": declared.Choice("tone", "item.lang", {"en": "tone/brief", "de": "tone/kurz", "fr": "tone/brief"})},
+    {"doc": declared.Material("item.text", title="Text"), "size": declared.Material("item.facts")},
+)
+TEXTS = {"summary/base": "{{task}}\nTone: {{tone}}\n\n{{doc}}\nFacts:\n{{size}}{{task}}", "summary/task": "Summarise.", "tone/brief": "Be brief.", "tone/kurz": "Kurz."}
+_SHA = {n: f"sha256('{t}')".replace("\n", "' || chr(10) || '") for n, t in TEXTS.items()}
+
+
+def _listed(*objects: dict) -> str:
+    """SQL of the canonical JSON of a list of objects whose values are SQL, one level in."""
+    each = [" || ',' || chr(10) || ".join(f"""'      "{k}": ' || {v}""" for k, v in sorted(o.items())) for o in objects]
+    return "'[' || chr(10) || " + " || ',' || chr(10) || ".join(f"'    {{' || chr(10) || {e} || chr(10) || '    }}'" for e in each) + " || chr(10) || '  ]'"
+
+
+def _object(depth: int, **fields: str) -> str:
+    pad = "  " * depth
+    return "'{' || chr(10) || " + " || ',' || chr(10) || ".join(f"""'{pad}  "{k}": ' || {v}""" for k, v in sorted(fields.items())) + f" || chr(10) || '{pad}}}'"
+
+
+_DIGESTED = _object(
+    0, prompt_resolution_schema="'1'", spec="""'"summary"'""", structure_digest=f"""'"{SUMMARY.structure_digest}"'""", base=_object(1, name="""'"summary/base"'""", digest=f"to_json({_SHA['summary/base']})"),
+    layers=_listed({"name": """'"summary/task"'""", "digest": f"to_json({_SHA['summary/task']})"}, {"name": "to_json(CASE lang WHEN 'de' THEN 'tone/kurz' ELSE 'tone/brief' END)", "digest": "to_json(sha256(tone))"}),
+    axes=_listed({"name": """'"tone"'""", "variant": "to_json(lang)"}), materials=_listed({"name": """'"doc"'""", "digest": "to_json(sha256(doc))"}, {"name": """'"size"'""", "digest": "to_json(sha256(size))"}),
+    rendered=_object(1, sha256="to_json(sha256(prompt))", bytes="octet_length(encode(prompt))"), attachments="'[]'", response_spec=_object(1, schema_sha256="to_json(sha256('{}'))", format="""'"text"'"""),
+    messages="""'[' || chr(10) || '    {' || chr(10) || '      "parts": [' || chr(10) || '        ' || to_json(prompt) || chr(10) || '      ],' || chr(10) || '      "role": "user"' || chr(10) || '    }' || chr(10) || '  ]'""",
+)
+
+
+@query(f"""WITH m AS (SELECT doc_id, lang, CASE lang WHEN 'de' THEN 'Kurz.' WHEN 'en' THEN 'Be brief.' WHEN 'fr' THEN 'Be brief.' END AS tone, '## Text' || chr(10) || chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10) AS doc,
+'```json' || chr(10) || '{{' || chr(10) || '  "chars": ' || n_chars || ',' || chr(10) || '  "of": ' || to_json(source) || chr(10) || '}}' || chr(10) || '```' || chr(10) AS size FROM documents),
+r AS (SELECT *, 'Summarise.' || chr(10) || 'Tone: ' || tone || chr(10) || chr(10) || doc || chr(10) || 'Facts:' || chr(10) || size || 'Summarise.' AS prompt FROM m)
+SELECT doc_id, sha256(prompt) AS prompt_sha, CASE WHEN prompt IS NOT NULL THEN sha256({_DIGESTED}) END AS resolution_digest, CASE WHEN tone IS NULL THEN 'choice tone: unknown variant ' || lang END AS problem FROM r""")
+def declared_prompts(spark, sf):
+    """Whole documents as material of a declared prompt; its tone has no variant for one of the languages."""
+    item = F.struct("lang", "text", F.struct(F.col("n_chars").alias("chars"), F.col("source").alias("of")).alias("facts"))
+    declared.check([SUMMARY], ["item"], "map")
+    made = declared.resolve(read(spark, sf, "documents").select("doc_id", item.alias("item")), SUMMARY, declared.Catalog(TEXTS))
+    return made.select("doc_id", canon.sha(F.col("prompt")).alias("prompt_sha"), declared.resolution_digest().alias("resolution_digest"), F.col("prompt_problem").alias("problem"))
+
+
+REPLY = declared.Prompt("reply", "base", {"who": declared.Choice("who", "role", {"user": "user", "assistant": "assistant", "system": "system"})}, {"said": declared.Material("text")})
+
+
+@query("""SELECT conv_id, turn, sha256(prompt) AS prompt_sha, turn % 3 <> 0 AS has_lineage FROM (SELECT conv_id, turn, upper(left(role, 1)) || substr(role, 2) || ':' || chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10) || CASE WHEN turn % 3 = 0 THEN '!' ELSE '' END AS prompt FROM conversations)""")
+def prompt_lineage(spark, sf):
+    """Turns as prompts, of which every third is changed after it was made: its record is no longer its own."""
+    texts = {"base": "{{who}}:\n{{said}}", "user": "User", "assistant": "Assistant", "system": "System"}
+    made = declared.resolve(read(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), REPLY, declared.Catalog(texts))
+    changed = made.withColumn("prompt", F.when(F.col("turn") % 3 == 0, F.concat("prompt", F.lit("!"))).otherwise(F.trim(F.concat("prompt", F.lit("")), F.lit("~"))))
+    return declared.with_lineage(changed).select("conv_id", "turn", canon.sha(F.col("prompt")).alias("prompt_sha"), F.col("prompt_record").isNotNull().alias("has_lineage"))
+
+
+READ = declared.Prompt("read", "base", {}, {"page": declared.Material("props.path", title="Page", file=True)})
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM pages), e AS (SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN event_id % (n + 5) END AS page FROM events, n), f AS (SELECT e.*, p.html, 'pages/' || page || '.html' AS path FROM e LEFT JOIN pages p ON p.page_id = page)
+SELECT event_id, CASE WHEN page IS NULL THEN 'material page: no path' WHEN html IS NULL THEN 'material page: no file ' || path WHEN page % 11 = 0 THEN 'material page: not UTF-8: ' || path END AS problem,
+CASE WHEN page % 11 <> 0 THEN sha256('## Page' || chr(10) || chr(10) || '```' || chr(10) || html || chr(10) || '```' || chr(10)) END AS prompt_sha, CASE WHEN page % 11 <> 0 THEN sha256(html) END AS content_hash,
+CASE WHEN page % 11 <> 0 AND html IS NOT NULL THEN octet_length(encode(html)) END AS size_bytes, CASE WHEN page % 11 <> 0 AND html IS NOT NULL THEN 'text/html' END AS mime_type FROM f""")
+def prompt_files(spark, sf):
+    """Events name pages by paths in their props; whole pages are the files, some aren't UTF-8, and some paths name none."""
+    pages = read(spark, sf, "pages")
+    bad = F.col("page_id") % 11 == 0
+    held = pages.select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.when(bad, F.concat(F.unhex(F.lit("FF")), F.col("html").cast("binary"))).otherwise(F.col("html").cast("binary")).alias("content"))
+    n = pages.agg(F.count(F.lit(1)).alias("n"))
+    path = F.concat(F.lit("pages/"), (F.col("event_id") % (F.col("n") + 5)).cast("string"), F.lit(".html"))
+    asked = read(spark, sf, "events").select("event_id").crossJoin(F.broadcast(n))  # one row
+    asked = asked.select("event_id", F.when(F.col("event_id") % 9 == 0, F.lit('{"other": 1}')).otherwise(F.to_json(F.struct(path.alias("path")))).alias("props"))
+    made = declared.resolve(asked, READ, declared.Catalog({"base": "{{page}}"}), files=held)
+    file = F.get(F.col("prompt_record")["attachments"], F.lit(0))
+    return made.select("event_id", F.col("prompt_problem").alias("problem"), canon.sha(F.col("prompt")).alias("prompt_sha"), file["content_hash"].alias("content_hash"), file["size_bytes"].alias("size_bytes"), file["mime_type"].alias("mime_type"))
