@@ -212,13 +212,17 @@ def _block_at(df: DataFrame, path: str, title: str | None) -> Column:
     return F.when(found.isNotNull(), text.inject(canonical_json(found, kind), lang="json", title=title))
 
 
-def _with_files(df: DataFrame, slot: str, path: str, files: DataFrame | None) -> DataFrame:
-    """df with __path, __raw of the file that the path names."""
+def _with_files(df: DataFrame, slot: str, m: Material, files: DataFrame | None) -> DataFrame:
+    """df with __path, and of the file that it names __slot (its fenced text, null unless UTF-8) and __file (digest and size). Files are read and
+    digested once each, before the join, however many rows name them."""
     if files is None:
         raise DeclarationError(f"material {slot!r} is a file, but no files are given")
-    held = files.select(F.col("path").alias(f"__held_{slot}"), F.col("content").alias(f"__raw_{slot}")).dropDuplicates([f"__held_{slot}"])
-    df = df.withColumn(f"__path_{slot}", _text_at(df, path))
-    return df.join(held, F.col(f"__path_{slot}") == F.col(f"__held_{slot}"), "left").drop(f"__held_{slot}")
+    held = files.where("path IS NOT NULL AND content IS NOT NULL").select(F.col("path").alias("__held"), "content").dropDuplicates(["__held"])
+    decoded, raw = F.col("content").cast("string"), F.col("content")
+    block = F.when(F.is_valid_utf8(decoded), text.inject(decoded, title=m.title))
+    held = held.select("__held", block.alias(f"__slot_{slot}"), F.struct(sha(raw).alias("sha"), F.octet_length(raw).cast("long").alias("bytes")).alias(f"__file_{slot}"))
+    df = df.withColumn(f"__path_{slot}", _text_at(df, m.value))
+    return df.join(held, F.col(f"__path_{slot}") == F.col("__held"), "left").drop("__held")
 
 
 def _mime(path: Column) -> Column:
@@ -250,12 +254,10 @@ def resolve(df: DataFrame, p: Prompt, catalog: Catalog, *, files: DataFrame | No
         problem = F.coalesce(problem, F.when(by.isNull(), f"choice {layer.name}: no text").when(F.col(f"__slot_{slot}").isNull(), unknown))
     for slot, m in p.materials.items():
         if m.file:
-            df = _with_files(df, slot, m.value, files)
-            path, raw = F.col(f"__path_{slot}"), F.col(f"__raw_{slot}")
-            valid = F.is_valid_utf8(raw.cast("string"))
-            df = df.withColumn(f"__slot_{slot}", F.when(valid, text.inject(raw.cast("string"), title=m.title)))
-            attached.append(pair(path=path, content_hash=sha(raw), mime_type=_mime(path), size_bytes=F.octet_length(raw).cast("long")))
-            why = F.when(path.isNull(), f"material {slot}: no path").when(raw.isNull(), F.concat(F.lit(f"material {slot}: no file "), path)).when(~valid, F.concat(F.lit(f"material {slot}: not UTF-8: "), path))
+            df = _with_files(df, slot, m, files)
+            path, file, said = F.col(f"__path_{slot}"), F.col(f"__file_{slot}"), lambda what, path, slot=slot: F.concat(F.lit(f"material {slot}: {what} "), path)
+            attached.append(pair(path=path, content_hash=file["sha"], mime_type=_mime(path), size_bytes=file["bytes"]))
+            why = F.when(path.isNull(), f"material {slot}: no path").when(file.isNull(), said("no file", path)).when(F.col(f"__slot_{slot}").isNull(), said("not UTF-8:", path))
         else:
             df = df.withColumn(f"__slot_{slot}", _block_at(df, m.value, m.title))
             why = F.when(F.col(f"__slot_{slot}").isNull(), f"material {slot}: no value")
@@ -264,14 +266,14 @@ def resolve(df: DataFrame, p: Prompt, catalog: Catalog, *, files: DataFrame | No
     pieces = re.split(text.SLOT, catalog.texts[p.base])
     filled = F.concat(*(F.col(f"__slot_{x}") if i % 2 else F.lit(x) for i, x in enumerate(pieces)))
     df = df.withColumn(f"{into}_problem", problem).withColumn(into, F.when(F.col(f"{into}_problem").isNull(), filled))
-    said = F.col(into)
+    whole = F.col(into)
     parts = {
         "prompt_resolution_schema": F.lit(SCHEMA), "spec": F.lit(p.name), "structure_digest": F.lit(p.structure_digest), "base": pair(name=F.lit(p.base), digest=sha(F.lit(catalog.texts[p.base]))),
-        "layers": F.array(*layers), "axes": F.array(*axes), "materials": F.array(*materials), "rendered": pair(sha256=sha(said), bytes=F.octet_length(said).cast("long")),
-        "messages": F.array(pair(role=F.lit("user"), parts=F.array(said))), "attachments": F.array(*attached), "response_spec": pair(schema_sha256=sha(F.lit("{}")), format=F.lit("text")),
+        "layers": F.array(*layers), "axes": F.array(*axes), "materials": F.array(*materials), "rendered": pair(sha256=sha(whole), bytes=F.octet_length(whole).cast("long")),
+        "messages": F.array(pair(role=F.lit("user"), parts=F.array(whole))), "attachments": F.array(*attached), "response_spec": pair(schema_sha256=sha(F.lit("{}")), format=F.lit("text")),
     }
     record = F.struct(*(parts[n].cast(t).alias(n) for n, t in RECORD.items()))
-    made = df.withColumn(f"{into}_record", F.when(said.isNotNull(), record))
+    made = df.withColumn(f"{into}_record", F.when(whole.isNotNull(), record))
     return made.select(*(F.col(f"`{c}`") for c in before if c not in (into, f"{into}_record", f"{into}_problem")), into, f"{into}_record", f"{into}_problem")
 
 
