@@ -41,6 +41,16 @@ def kind(status: Column, code: Column, raised: Column | None = None) -> Column:
     return F.coalesce(of_status, of_raised, _named(CODES, F.lower(code)), F.lit("unknown"))
 
 
+def kind_of(error: BaseException) -> str:
+    """As `kind`, of an error that was raised on the driver: its status, its type and its code count, its wording doesn't."""
+    status, code = getattr(error, "status_code", getattr(error, "status", None)), getattr(error, "code", None)
+    if isinstance(status, int) and not isinstance(status, bool) and 400 <= status <= 599:
+        return _STATUS.get(status, "server_error" if status >= 500 else "invalid_request")
+    if isinstance(error, (TimeoutError, ConnectionError)):
+        return "timeout" if isinstance(error, TimeoutError) else "connection"
+    return CODES.get(code.lower(), "unknown") if isinstance(code, str) else "unknown"
+
+
 def _number(text: Column, times: int) -> Column:
     """Whole milliseconds, 0 or more, of a text that is a finite number; else null."""
     value = F.when(F.trim(text).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,3})?$"), F.trim(text).cast("double")) * times

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.canon import sha
+from ..functions.failures import kind_of
+from ..functions.identity import digest as digest_of
 from ..functions.text import jitter_fraction
 from .graph import closure
 
@@ -34,6 +37,16 @@ class RetryPolicy:
         drawn = cap * jitter_fraction(run_id, target, attempt, digest) if self.jitter == "full" else cap
         return F.greatest(drawn, F.greatest(F.lit(0.0), F.coalesce(asked_ms, F.lit(0)) / 1000))
 
+    def wait(self, run_id: str, target: str, attempt: int, error: BaseException | None) -> float | None:
+        """As `delay`, on the driver: seconds until a step's next attempt after it raised an error, or None where the step is not tried again. An error may
+        have `retry_after_ms`. Without an error (items of a map failed, whose kinds aren't known), attempts alone count."""
+        if attempt >= self.max_attempts or (error is not None and kind_of(error) not in self.retry_on):
+            return None
+        held = hashlib.sha256("\\0".join((run_id, target, str(attempt), digest_of(asdict(self)))).encode()).hexdigest()
+        cap = min(self.max_delay, self.initial_delay * self.multiplier ** (attempt - 1))
+        asked = getattr(error, "retry_after_ms", None)
+        return max(cap * (int(held[:16], 16) / 2.0**64 if self.jitter == "full" else 1.0), asked / 1000 if isinstance(asked, (int, float)) and asked > 0 else 0.0)
+
     def next_status(self, failed: Column, kind: Column, side_effect: Column, attempt: Column) -> Column:
         again = (attempt < self.max_attempts) & F.coalesce(kind.isin(*self.retry_on), F.lit(False))
         return F.when(~failed, "success_candidate").when(side_effect, "ambiguous").when(again, "retry_scheduled").otherwise("failed")

@@ -31,7 +31,7 @@ class Step:
     files: tuple[str, ...] = ()  # declared paths and globs, below the run's root
     files_fn: Callable[[DataFrame], Column] | None = None  # of a map's items: the paths that each one reads
     params: Mapping = field(default_factory=dict)
-    retries: int = 0  # of a failed step, or of a map's failed items
+    retries: object = 0  # of a failed step, or of a map's failed items: a number of them, at once, or a policy of attempts
     errors: str | None = None  # the column of a map's results that tells what is wrong with an item
     keep_errors: bool = False  # go on with the other items' results where some items fail
     uses: tuple[str, ...] = ()  # resources of which the run may have a limited number

@@ -17,6 +17,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from time import sleep
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from ..sources.files import Inputs, capture, contents, declared, with_files
 from ..sources.keyed import BUCKET, KEY, Keyed, bucket
 from ..sources.store import Store
 from . import scans
+from .attempts import RetryPolicy
 from .dynamic import check_items, with_keys
 from .graph import Pipeline, RunResult, Step, viewed
 
@@ -143,14 +145,16 @@ class _Run:
             if content_digest(df) != held["digest"]:
                 raise ValueError(f"the stored result of {step.name!r} doesn't match its digest")
             return df, held["place"], True, held["digest"], 0
-        for attempt in range(1, step.retries + 2):
+        attempt = 0
+        while True:
+            attempt += 1
             place = f"{self.store.root}/results/{uuid.uuid4().hex}"
             try:
                 df = made if made is not None else step.fn(self.inputs(step, got))
                 df.write.parquet(place)
                 break
-            except Exception:
-                if attempt > step.retries:
+            except Exception as error:
+                if not self._again(step, attempt, error):
                     raise
         df = spark.read.schema(df.schema).parquet(place)
         sha = content_digest(df)
@@ -158,6 +162,15 @@ class _Run:
             self.store.note("entries", [{"key": key, "step": step.name, "place": place, "digest": sha}], self.run_id)
         return df, place, False, sha, attempt
 
+    def _again(self, step: Step, attempt: int, error: Exception | None) -> bool:
+        """Whether a step is tried again after a failed attempt; if it is, when its policy's delay is over. It keeps its permits meanwhile."""
+        if not isinstance(step.retries, RetryPolicy):
+            return attempt <= step.retries
+        delay = step.retries.wait(self.run_id, step.name, attempt, error)
+        if delay is not None:
+            sleep(delay)
+        return delay is not None
+
     def keyed(self, step: Step, got: dict[str, DataFrame], source: str) -> tuple[DataFrame, DataFrame, str, Keyed]:
         """(items with their files, (id, key) of each, digest of what they share, where results are)."""
         items = check_items(got[step.items_from], step.item)
@@ -192,7 +205,7 @@ class _Run:
         looked = keys.withColumn(BUCKET, bucket()).join(stored, [KEY, BUCKET], "left").withColumn("__miss", again | F.col("__has").isNull())
         n, missed = looked.agg(F.count(F.lit(1)), F.count_if("__miss")).first()
         parts, todo, bad, attempt, scratch = [(index, part)], looked.where("__miss").select("__id", KEY), None, 0, []
-        while missed and attempt <= step.retries:
+        while missed and (attempt == 0 or self._again(step, attempt, None)):
             attempt += 1
             mine = items.join(todo.select(F.col("__id").alias("__todo")), F.col(step.item) == F.col("__todo"), "left_semi")
             made = self._called(step, got, mine).join(todo, F.col(step.item) == F.col("__id"))

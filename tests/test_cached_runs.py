@@ -3,12 +3,15 @@
 import json
 import os
 import time
+from dataclasses import asdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from flowledger.functions import identity
 from flowledger.functions.identity import fingerprint
 from flowledger.operators import dynamic, graph, run, scans
+from flowledger.operators.attempts import RetryPolicy
 from flowledger.sources.files import UndeclaredInputError
 from flowledger.sources.store import Store
 
@@ -177,6 +180,50 @@ def test_retries_of_a_step_and_steps_side_by_side(spark, tmp_path):
         run.execute(p, store, force=["slow0", "slow1", "slow2"], workers=4, limits={"one": 1}, patience=0.05)
 
 
+class Busy(Exception):
+    def __init__(self, status=429, wait=None):
+        self.status_code, self.retry_after_ms = status, wait
+
+
+def test_policies_wait_and_choose(spark, tmp_path, monkeypatch):
+    store, slept, raised = Store(spark, str(tmp_path)), [], []
+    monkeypatch.setattr(run, "sleep", slept.append)
+    policy = RetryPolicy(max_attempts=3, initial_delay=10, max_delay=15, jitter="none")
+
+    def run_of(*errors, retries=policy):
+        left = list(errors)
+
+        def flaky(got):
+            if left:
+                raise left.pop(0)
+            return got["src"]
+
+        p = graph.Pipeline()
+        p.node("src", cache="off")(lambda _: spark.range(3))
+        p.node("flaky", ["src"], retries=retries, version=str(len(raised)))(_Step(flaky))
+        raised.append(1)
+        slept.clear()
+        return run.execute(p, store)
+
+    assert run_of(Busy(503), TimeoutError()).status == "completed" and slept == [10, 15]
+    assert run_of(Busy(429, 20_000)).status == "completed" and slept == [20]
+    for errors in ([Busy(401)], [ValueError("timeout")], [ConnectionError()] * 3):
+        with pytest.raises(type(errors[0])):
+            run_of(*errors)
+    assert slept == [10, 15]  # the last: three attempts, two delays
+    run_of(ValueError("x"), retries=1)
+    assert slept == []  # a number of retries has neither kinds nor delays
+    kept = run.execute(failing(items_of(spark, [(1, "bad"), (2, "b")]), retries=policy, keep=True), store)
+    assert slept == [10, 15] and [(r.id, r.attempts) for r in kept.item_errors["m"].collect()] == [("1", 3)]
+
+
+def test_waits_are_those_of_the_ledger(spark):
+    policy = RetryPolicy(max_attempts=9)
+    rows = spark.range(1, 6).select("id", policy.delay(F.lit("run-0001"), F.lit("a"), F.col("id"), F.lit(identity.digest(asdict(policy))), F.lit(None).cast("long")).alias("delay")).collect()
+    assert all(abs(policy.wait("run-0001", "a", r.id, Busy()) - r.delay) < 1e-9 for r in rows)
+    assert policy.wait("r", "a", 9, Busy()) is None and policy.wait("r", "a", 1, Busy(404)) is None and policy.wait("r", "a", 1, None) is not None
+
+
 class _Step:
     """A function whose digest is its name: what it does in a test has no value to digest."""
 
