@@ -96,6 +96,25 @@ def test_aliases_keep_their_query(spark):
     assert got == {1: "block", 2: "allow", 3: "allow", 4: "block", 5: "block"}
 
 
+def test_default_rules_are_those_of_the_contract(spark):
+    import duckdb
+
+    said = {
+        "http://a.com/en/1": ("com/en/", "block"), "http://www.example.com/en/70": ("example.com/en/7", "allow"), "http://example.com/en/6": ("com/en/", "block"),
+        "http://a.net/de/8": ("net/de/", "allow"), "http://www.example.net/de/80": ("example.net/de/8", "block"), "http://example.net/de/7": ("net/de/", "allow"),
+        "http://a.org/es/": ("org/es/", "block"), "http://a.org/de/8": (None, "allow"),
+    }
+    rows = [(k, url, None) for k, url in enumerate(said)]
+    got = urlfilter.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: (r.rule, r.verdict) for r in got} == dict(enumerate(said.values()))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    con.execute(registry.ORACLE["op9_url_filter"])
+    names = [d[0] for d in con.description]
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in (dict(zip(names, x, strict=True)) for x in con.fetchall())} == dict(enumerate(said.values()))
+
+
 def test_templates_from_a_table(spark):
     words = [f"w{i}" for i in range(40)]
     table = spark.createDataFrame([("own", " ".join(words)), ("short", "a b"), (None, None)], "label string, text string")
