@@ -16,6 +16,9 @@ from ..functions.canon import sha
 from ..functions.rolling import anchors, share_window
 from .skyline import skyline
 
+#: So many texts at most are in a Python worker at a time, whatever the size of the tables.
+TEXTS = 200
+
 
 def gated(gate: Column, quality: Column, gate_tags: Column, quality_tags: Column) -> Column:
     """The gate's judgment where it isn't passed in full, else the quality score with both sets of tags."""
@@ -142,7 +145,11 @@ def leak_windows(texts: DataFrame, samples: DataFrame, run: int, seed: str | Non
     that a candidate was made from). Both sides are (id, text), with ids of any type; an id may repeat, null texts have no runs.
 
     Texts with a common window have a common anchor, so both sides' distinct anchors are joined, and each pair that met is compared by all its windows, in
-    time in proportion to both texts however repetitive they are."""
+    time in proportion to both texts however repetitive they are. Python workers are handed TEXTS texts at a time, which sets the session's
+    largest Arrow batch where that is larger."""
+    size, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", texts.sparkSession
+    if not 0 < int(spark.conf.get(size)) <= TEXTS:
+        spark.conf.set(size, str(TEXTS))
     allowed = {seed[i : i + run] for i in range(len(seed) - run + 1)} if seed else set()
 
     def anchored(batches):

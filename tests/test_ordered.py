@@ -73,3 +73,19 @@ def test_leaks_of_any_ids_and_repetitive_texts(spark):
     assert len(anchors("a" * 200_000, 40)) == 1 and time.time() - began < 20
     big = spark.createDataFrame([("x", "a" * 20_000)], "id string, text string")
     assert evals.leak_windows(big, spark.createDataFrame([(1, "a" * 16_000)], "id int, text string"), 40).count() == 1
+
+
+def test_leak_windows_hold_few_texts_at_a_time(spark):
+    import pyarrow as pa
+
+    size, held = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    counted = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    try:
+        for before, most in (("10000", evals.TEXTS), ("0", evals.TEXTS), ("7", 7)):
+            spark.conf.set(size, before)
+            texts = spark.range(0, 1500, 1, 1).selectExpr("id", "concat('a text that stands in all of them ', id) AS text")
+            found = evals.leak_windows(texts, texts.where("id < 2"), 30)
+            assert found.count() == 3000
+            assert texts.mapInArrow(counted, "n long").agg({"n": "max"}).first()[0] <= most
+    finally:
+        spark.conf.set(size, held)
