@@ -25,11 +25,14 @@ def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_classifier(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose pairwise-ranking score is above the cut."""
+    """Documents whose pairwise-ranking score is above the cut.
+
+    The verdicts are written before they are asked for: a filter on them would be pushed below the steps of the signals, with all of
+    their patterns written out again wherever a step is used, and each text would be searched many times over."""
     model = ranker.fit(docs, table(spark, sf_dir, "labels"))
     whole = docs.withColumn("__text", F.col("text"))
-    kept = ranker.score(whole, model, text="text").where("predicted = 1")
-    return kept.withColumnRenamed("__text", "text").select(*COLUMNS)
+    scored = ranker.score(whole, model, text="text").withColumnRenamed("__text", "text")
+    return materialise(scored.select(*COLUMNS, "predicted")).where("predicted = 1").select(*COLUMNS)
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import count_chars, table
 
 SAMPLE, PAIRS, THRESHOLD, RIDGE = 20_000, 40_000, 0.3, 1e-3
+#: Tasks that compute the sample's signals; the sample is too small in bytes for Spark to spread it by itself.
+FIT_PARTS = 48
 SIGNALS = ("symbols", "exclaims", "capitals", "digits", "bars", "repeated_grams", "adjacent", "repeated_words", "repeated_lines", "word_length", "length")
 
 
@@ -72,7 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     marked = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("__key")).agg(F.max("quality").alias("__y"))
     marked = marked.orderBy(F.xxhash64("__key"), "__key").limit(sample)
     met = docs.select(F.col(key).alias("__id"), F.col(text).alias("text")).join(F.broadcast(marked), F.col("__id") == F.col("__key"))
-    met = met.groupBy("__id", "__y").agg(F.min("text").alias("text"))  # an id counts once, with its smallest text: at most `sample` rows
+    met = met.repartition(FIT_PARTS, "__id").groupBy("__id", "__y").agg(F.min("text").alias("text"))  # an id counts once, with its smallest text: at most `sample` rows
     rows = signals(met, "text").select("__y", *SIGNALS).collect()
     y, x = np.array([r[0] for r in rows]), np.array([r[1:] for r in rows], float).reshape(-1, len(SIGNALS))
     if not len(y) or y.min() == y.max():

@@ -211,3 +211,30 @@ def test_repeated_labelled_texts_are_one_trial(spark):
     assert certified(ten) == [] == certified(ten * 300) == certified([(k % 3000, words(k % 10), "en") for k in range(3000)])
     many = certified([(k, words(k), "en") for k in range(3000)])
     assert {r.rule for r in many} == {"symbols", "exclaims", "capitals", "dup_lines", "repeats"} and {r.n for r in many} == {3000}
+
+
+def test_the_classifier_stage_searches_each_text_once(spark):
+    import corpus_pipeline
+
+    docs, labels = (spark.read.parquet(f"{DATA}/{name}.parquet") for name in ("documents", "labels"))
+    model = ranker.fit(docs, labels)
+    assert model is not None
+    kept = corpus_pipeline.quality_classifier(spark, docs, DATA)
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2
+    want = sorted(r.doc_id for r in ranker.score(docs, model).collect() if r.predicted == 1)
+    assert 0 < len(want) < docs.count() and sorted(r.doc_id for r in kept.collect()) == want
+
+
+def test_counts_of_characters_and_of_repeated_windows(spark):
+    from collections import Counter
+
+    texts = ["", "[A]^B-C\\ !!", "\U0001d11e#é*$%&|<>|", "ZZ Za aZ", "a b c d", "a b c x a b c", "a a a a a", "x y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    sets = (rules.SYMBOLS, "!", "|", upper, "[]^-\\")
+    got = df.select("doc_id", F.array(*(common.count_chars(F.col("text"), s) for s in sets)).alias("n")).collect()
+    assert {r.doc_id: r.n for r in got} == {k: [sum(c in s for c in t) for s in sets] for k, t in enumerate(texts)}
+    for r in rules.with_features(df).collect():
+        words = texts[r.doc_id].split()
+        seen = Counter(zip(words, words[1:], words[2:]))
+        assert r.n_repeat_words == len({i + j for i, w in enumerate(zip(words, words[1:], words[2:])) if seen[w] > 1 for j in range(3)})
